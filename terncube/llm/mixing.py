@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent:
     return found.select("source", "source_size", F.when(F.col("level").isNull() | (F.col("level") * F.col("w") >= F.col("room")), F.col("room").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = (), bucket_rows: int = 50_000) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2, key: str = "doc_id", text: str = "text", source: str = "source", keep: Sequence[str] = (), bucket_rows: int = 4096) -> DataFrame:
     """One row per document: (key, size, source, source_size, target, taken, *keep).
 
     A source's budget is its target, rounded half up. Its documents stand in the order of a hash of their key; each whole

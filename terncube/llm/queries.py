@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from terncube.llm.langid import op10_language
 from terncube.llm.media import op9_media
 from terncube.llm.mixing import OP6_SQL, op6_mix
+from terncube.llm.packing import op5_pack
 from terncube.llm.urls import OP1_SQL, op1_url_filter
 from terncube.llm.warc import op7_warc
 
@@ -12,5 +14,7 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_warc": op7_warc,
     "op9_media": op9_media,
+    "op10_language": op10_language,
+    "op5_pack": op5_pack,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op6_mix": OP6_SQL}
