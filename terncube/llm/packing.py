@@ -135,7 +135,7 @@ def _fill(lengths: np.ndarray, copies: np.ndarray, size: int) -> np.ndarray:
     return pattern
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, rounds: int = 2000) -> tuple[list[np.ndarray], np.ndarray]:
+def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, rounds: int = 400) -> tuple[list[np.ndarray], np.ndarray]:
     """The linear program by column generation and the revised simplex method: patterns and their (fractional) uses.
 
     The first basis comes from filling patterns from the longest length on, each used until one of its lengths is used

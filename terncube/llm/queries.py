@@ -5,6 +5,7 @@ from __future__ import annotations
 from terncube.llm.langid import op10_language
 from terncube.llm.media import op9_media
 from terncube.llm.mixing import OP6_SQL, op6_mix
+from terncube.llm.neighbours import op4_neighbours
 from terncube.llm.packing import op5_pack
 from terncube.llm.urls import OP1_SQL, op1_url_filter
 from terncube.llm.warc import op7_warc
@@ -16,5 +17,6 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_language": op10_language,
     "op5_pack": op5_pack,
+    "op4_neighbours": op4_neighbours,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op6_mix": OP6_SQL}
