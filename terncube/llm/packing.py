@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,10 @@ from terncube.llm.runtime import Scratch
 
 #: White space by Unicode's White_Space property, as the tokenizer's own pattern sees it.
 _WS = "".join(["\\t-\\r \\x85\\xa0", "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"])
-#: Parts of a text that byte-level BPE encodes independently: a word with the blank before it, or white space.
-PART = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-CACHE = 250_000
+#: Parts of a text that byte-level BPE encodes independently: a run of letters and digits or of other signs, with a blank
+#: before it, an English contraction, or white space.
+PART = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[^\W_]+| ?(?:[^\w{_WS}]|_)+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+CACHE = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -44,24 +47,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [PART.findall(t) for t in texts]
-        new = list({p for ps in parts for p in ps if p not in self.kept})
+        parts = [None if any(a in t for a in self.added) else PART.findall(t) for t in texts]  # added tokens cut across parts
+        every = list(filter(None, parts))
+        new = list(set(chain.from_iterable(every)).difference(self.kept))
         fresh: dict[str, bytes] = {}
         for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            fresh.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        room = CACHE - len(self.kept)
-        if len(fresh) <= room:
-            self.kept.update(fresh)
-            look = self.kept
-        else:
-            if room > 0:
-                self.kept.update(list(fresh.items())[:room])
-            look = {p: self.kept[p] if p in self.kept else fresh[p] for ps in parts for p in ps}
-        return [b"".join(map(look.__getitem__, ps)) for ps in parts]
+            fresh.update(zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000]), strict=True))
+        self.kept.update(islice(fresh.items(), max(0, CACHE - len(self.kept))))
+        look = ChainMap(self.kept, fresh)
+        get = self.kept.__getitem__ if len(self.kept) < CACHE else lambda p: self.kept.get(p) or look[p]
+        return [self._ids([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, parts, strict=True)]
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 1024, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
