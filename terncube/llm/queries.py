@@ -7,6 +7,7 @@ from terncube.llm.media import op9_media
 from terncube.llm.mixing import OP6_SQL, op6_mix
 from terncube.llm.neighbours import op4_neighbours
 from terncube.llm.packing import op5_pack
+from terncube.llm.secrets import OP3_SQL, op3_secrets
 from terncube.llm.urls import OP1_SQL, op1_url_filter
 from terncube.llm.warc import op7_warc
 
@@ -18,5 +19,6 @@ QUERIES = {
     "op10_language": op10_language,
     "op5_pack": op5_pack,
     "op4_neighbours": op4_neighbours,
+    "op3_secrets": op3_secrets,
 }
-SQL = {"op1_url_filter": OP1_SQL, "op6_mix": OP6_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op6_mix": OP6_SQL, "op3_secrets": OP3_SQL}
