@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terncube.llm.jaccard import op2_jaccard
 from terncube.llm.langid import op10_language
+from terncube.llm.lines import op8_line_dedup
 from terncube.llm.media import op9_media
 from terncube.llm.mixing import OP6_SQL, op6_mix
 from terncube.llm.neighbours import op4_neighbours
@@ -22,5 +23,6 @@ QUERIES = {
     "op4_neighbours": op4_neighbours,
     "op3_secrets": op3_secrets,
     "op2_jaccard": op2_jaccard,
+    "op8_line_dedup": op8_line_dedup,
 }
 SQL = {"op1_url_filter": OP1_SQL, "op6_mix": OP6_SQL, "op3_secrets": OP3_SQL}
