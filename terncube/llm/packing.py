@@ -15,7 +15,7 @@ import re
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +51,10 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = list(accumulate(map(len, ids), initial=0))
+        return [flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [None if any(a in t for a in self.added) else PART.findall(t) for t in texts]  # added tokens cut across parts
