@@ -7,16 +7,19 @@ interchangeable. Only the named columns are read, so clashing extra columns do n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 from terncube.llm.runtime import Scratch
 
 WEIGHTS = (3, 1, 2)
+WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 @F.pandas_udf(LongType())
@@ -25,6 +28,12 @@ def n_words(text: pd.Series) -> pd.Series:
     return text.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
 
 
+@F.pandas_udf(StringType())
+def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+    """Each text up to the end of its n-th word; all of it if it has no more words."""
+    return pd.Series([t if t is None or (last := next(islice(WORD_BYTES.finditer(t.encode("utf-8", "surrogatepass")), k, None), None)) is None else t.encode("utf-8", "surrogatepass")[: last.start()].rstrip(b" \t\n\x0b\x0c\r").decode("utf-8", "surrogatepass") for t, k in zip(text, n, strict=True)], dtype=object)
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2) -> DataFrame:
     """(source, source_size, target) from sizes (source, size). The sources share percent % of all sizes by weight, the
     weights repeating over the sources by code point, null last; a target stops at most times its source's size and the
