@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terncube.llm.jaccard import Measure, jaccard_components
 from terncube.llm.langid import fit, fold, predict
 from terncube.llm.lines import dedup_lines
-from terncube.llm.mixing import mix
+from terncube.llm.mixing import first_words, mix
 from terncube.llm.packing import pack_documents
 from terncube.llm.runtime import Scratch
 
@@ -48,9 +48,9 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
     copies = taken.where("taken > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), times)))
     left = F.least("size", F.col("taken") - (F.col("__i") - 1) * F.col("size"))
-    part = F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit("{"), left.cast("string"), F.lit("})"))
-    cut = F.when(left < F.col("size"), F.call_function("regexp_extract", F.col("text"), part, F.lit(1))).otherwise(F.col("text"))
-    return _documents(copies.withColumn("text", cut))
+    cut = copies.withColumn("__left", left)
+    cut = cut.where("__left < size").withColumn("text", first_words("text", "__left")).unionByName(cut.where("__left >= size"))
+    return _documents(cut)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
