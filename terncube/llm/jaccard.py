@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from terncube.llm.runtime import Scratch, components
 from terncube.llm.shingles import mix, shingle_sets
 
-COUNT_BITS, COUNT_PARTS = 22, 64
+COUNT_BITS, COUNT_PARTS = 24, 256
 BINS = 32
 CHUNK = 1 << 22
 
@@ -81,7 +81,8 @@ def _describe(rows: DataFrame, m: Measure) -> DataFrame:
         total = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch, raw in _texts(batches, "text"):
             sets = shingle_sets(raw, m.k)
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS).astype(np.uint32)
+            at, times = np.unique((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.uint32), return_counts=True)
+            total[at] += times.astype(np.uint32)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             bins = np.bincount(owner * BINS + (np.concatenate(sets) & np.uint64(BINS - 1)).astype(np.int64), minlength=len(sets) * BINS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BINS, pa.int32()), pa.array(bins, pa.int32()))
@@ -103,8 +104,8 @@ def _frequent(counts: DataFrame, least: int) -> np.ndarray:
         return pd.DataFrame({"at": at + int(key[0]) * len(total), "n": total[at]})
 
     found = counts.groupBy("part").applyInPandas(add, "at long, n long").toPandas()
-    out = np.zeros(1 << COUNT_BITS, np.int32)
-    out[found["at"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**31 - 1)
+    out = np.zeros(1 << COUNT_BITS, np.uint16)
+    out[found["at"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**16 - 1)
     return out
 
 
@@ -217,7 +218,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, m: Measure) -
     return whole.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, measure: Measure = Measure(), key: str = "doc_id", text: str = "text", least: int = 32, frequent_share: int = 1000) -> DataFrame:
+def jaccard_components(docs: DataFrame, measure: Measure = Measure(), key: str = "doc_id", text: str = "text", least: int = 32, frequent_share: int = 4000) -> DataFrame:
     """(key, n_shingles, component): a row per row of docs; component is the smallest key in its component of links.
 
     A hash range of shingles is frequent if its count is at least least and a frequent_share-th of the rows; frequent
