@@ -67,10 +67,8 @@ def line_components(lines: DataFrame, scratch: Scratch, num: int = 8, den: int =
     component than that one with all lines of other components: no group is expanded into all its pairs and no link
     between candidates is lost."""
     in_bucket = Window.partitionBy("bucket")
-    found = scratch.cut(bands(lines))
-    held = found.withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "size": F.count("*").over(in_bucket)}).where("size > 1")
+    held = bands(lines).withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "size": F.count("*").over(in_bucket)}).where("size > 1")
     held = scratch.cut(held.select("bucket", "line_id", "n", F.col("lead.line_id").alias("lead"), F.col("lead.n").alias("lead_n")))
-    scratch.drop(found)
     near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num} * 0.99 - {den}"
     star = scratch.cut(held.where("line_id <> lead").where(near("n", "lead_n")).select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct())
     links = scratch.cut(_verified(star, lines, num, den))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,8 @@ class Scratch:
         path = f"{self.root}/{len(self.made)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        gc.collect()  # shuffle files go once the driver drops what led to the table
+        self.spark._jvm.System.gc()
         self.made[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]
         return out
