@@ -100,7 +100,7 @@ def importance(training: DataFrame, predictors: Sequence[str], response: str = "
         loss = np.maximum(0, [ratio(every) - ratio([c for c in every if c != j]) for j in every])
         return pd.DataFrame({"predictor": list(predictors), "importance": loss / loss.sum() if loss.sum() > 0 else None})
 
-    return training.groupBy(F.lit(1)).applyInPandas(run, "predictor string, importance double")
+    return training.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, "predictor string, importance double")
 
 
 def trend_bootstrap(training: DataFrame, predictors: Sequence[str], n: int = 20, seed: int = 42, response: str = "occurrence") -> DataFrame:
