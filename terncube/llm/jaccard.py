@@ -187,12 +187,17 @@ def _may_link(m: Measure, a: str, b: str) -> str:
     return f"least({a}n, {b}n) * {m.den} >= greatest({a}n, {b}n) * {m.num} and 1 + least({a}n - {a}pos, {b}n - {b}pos) - 1 >= {need}"
 
 
+def _may_overlap(m: Measure, a: str, b: str) -> str:
+    """Suffix filter: how differently two sets spread over hash ranges bounds how much they differ."""
+    apart = f"aggregate(zip_with({a}bins, {b}bins, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
+    return f"{apart} * {m.num + m.den} <= ({a}n + {b}n) * {m.den - m.num}"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, m: Measure) -> DataFrame:
     """Those of the distinct pairs (a, b) of sids that link: first the suffix filter, on how the two sets spread over hash
     ranges, then the sets themselves."""
     side = lambda c: sets.select(F.col("sid").alias(c), F.col("digest").alias(f"{c}_digest"), F.col("n").alias(f"{c}_n"), F.col("bins").alias(f"{c}_bins"))
-    apart = F.expr("aggregate(zip_with(a_bins, b_bins, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)")
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((apart * (m.num + m.den) <= (F.col("a_n") + F.col("b_n")) * (m.den - m.num)))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_overlap(m, "a_", "b_"))
     near = near.select("a", "b", "a_digest", "b_digest")
     text = lambda c: texts.select(F.col("digest").alias(f"{c}_digest"), F.col("text").alias(f"{c}_text"))
     whole = near.join(text("b"), "b_digest").join(text("a"), "a_digest").select("a", "a_text", "b", "b_text")
@@ -241,9 +246,12 @@ def jaccard_components(docs: DataFrame, measure: Measure = Measure(), key: str =
     comp = scratch.cut(components(links, scratch))
     label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
     placed = shared.join(label("sid", "own"), "sid", "left").join(label("lead", "lead_own"), "lead", "left").withColumns({"own": F.coalesce("own", "sid"), "lead_own": F.coalesce("lead_own", "lead")})
-    out_rows = placed.where("own <> lead_own").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("sid", "n", "pos", "own")])
-    all_rows = placed.select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "pos", "own", "lead_own")])
-    cross = out_rows.join(all_rows, "shingle").where("o_own <> m_own and (m_own = m_lead_own or o_sid < m_sid)").where(_may_link(measure, "o_", "m_"))
+    spread = sets.select("sid", "bins")
+    out_rows = placed.where("own <> lead_own").join(spread, "sid").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("sid", "n", "pos", "own", "bins")])
+    met = placed.join(placed.where("own <> lead_own").select("shingle").distinct(), "shingle", "left_semi").join(spread, "sid")
+    all_rows = met.select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "pos", "own", "lead_own", "bins")])
+    near = f"{_may_link(measure, 'o_', 'm_')} and {_may_overlap(measure, 'o_', 'm_')}"
+    cross = out_rows.join(all_rows, "shingle").where("o_own <> m_own and (m_own = m_lead_own or o_sid < m_sid)").where(near)
     cross = scratch.cut(cross.select(F.least("o_sid", "m_sid").alias("a"), F.greatest("o_sid", "m_sid").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
     more = scratch.cut(_verified(cross, sets, wanted(cross), measure))
     final = scratch.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")), scratch))
