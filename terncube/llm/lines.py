@@ -1,9 +1,11 @@
 """Fuzzy line deduplication in DataFrame functions only: character-shingle MinHash, banding, exact Jaccard, union-find.
 
 Lines are compared trimmed and in lower case, as sets of shingles of SHINGLE characters (a shorter line is one shingle).
-One-permutation MinHash: the shingles' hashes fall into BANDS * ROWS classes and each class keeps its smallest; short
-lines rehash each shingle several times so that classes are filled. Lines that agree in a band are candidates; the first
-of each component of verified links stays where it first occurs (by document id, text and line number).
+The signature of a line is its sorted shingle hashes: each of BANDS points on the hash ring takes the ROWS hashes that
+follow it, one permutation serving all bands. Long lines sign with the shingles at word starts alone, if they have enough
+of them; short ones hash each shingle several times, so that the ring is filled. Lines that agree in a band are
+candidates, verified on all shingles of both; the first of each component of verified links stays where it first occurs
+(by document id, text and line number).
 
 Defined results: a null text stays null and an empty one empty; lines of white space only stay, all of them; of repeated
 rows the first keeps its lines, the others lose them; an empty table gives an empty result. Columns other than the key and
@@ -18,60 +20,72 @@ from pyspark.sql import functions as F
 from terncube.llm.runtime import Scratch, components
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
-CLASSES = BANDS * ROWS
-#: Lines of lo to hi shingles rehash each one times over; a line up to a quarter above hi is in that regime too, so that any
-#: two lines of similarity 0.8 share one. Of long lines only hashes that may be the least of a class are looked at.
-REGIMES = [(1, 8, 32), (8, 16, 16), (16, 32, 8), (32, 64, 4), (64, 128, 2), (128, 1 << 40, 1)]
-A_CLASS = 6
+#: Lines of LONG shingles or more sign with shingles at word starts, if there is one in SPARSE characters.
+LONG, SPARSE = 96, 16
+#: Sets of lo to hi shingles are hashed so many times over. Limits overlap by SLACK, for lengths and for these ranges: a line
+#: near one signs on both sides of it, so that any two lines of similarity 0.8 sign alike at least once.
+REGIMES, SLACK = [(1, 4, 32), (4, 8, 16), (8, 16, 8), (16, 32, 4), (32, 64, 2), (64, 1 << 40, 1)], 1.3
+BLANKS = " \t\n\x0b\f\r"
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, page, no, line, id): every line that is not blank, with the digest of its text, its number from 1 on and the
     digest of its compared form."""
     rows = docs.select(F.col(key).alias("doc"), F.unhex(F.md5(text)).alias("page"), F.posexplode(F.split(text, "\n", -1)).alias("at", "raw"))
-    lines = rows.select("doc", "page", (F.col("at") + 1).alias("no"), F.explode(F.array(F.lower(F.regexp_replace("raw", r"^\s+|\s+$", "")))).alias("line"))
+    lines = rows.select("doc", "page", (F.col("at") + 1).alias("no"), F.lower(F.trim("raw", F.lit(BLANKS))).alias("line"))
     return lines.where("line <> ''").withColumn("id", F.unhex(F.md5("line")))
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """(id, n, bucket): BANDS buckets for each distinct line and regime. The lines are dealt out by id once; all later
-    grouping is within that."""
-    one = lines.select("id", "line").dropDuplicates(["id"])
-    coded = one.select("id", F.encode("line", "UTF-16BE").alias("b")).withColumn("n", F.greatest(F.expr(f"octet_length(b) div 2 - {SHINGLE - 1}"), F.lit(1)))
-    regimes = F.filter(F.array(*[F.when((F.col("n") >= lo) & (F.col("n") < hi * 1.25), F.lit(m)) for lo, hi, m in REGIMES]), lambda x: x.isNotNull())
-    hashed = coded.withColumn("m", F.explode(regimes)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("id", "n", "m", F.expr(f"xxhash64(substring(b, 2 * at + 1, {2 * SHINGLE}))").alias("h"))
-    least = F.expr(f"cast(least({CLASSES * A_CLASS}D / (n * m), 1D) * 9.2e18 as long)")
-    short = hashed.where("m > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("m")))).select("id", "n", "m", F.xxhash64("h", "j").alias("h"))
-    every = hashed.where("m = 1").select("id", "n", "m", "h").unionByName(short)
-    low = every.withColumn("v", F.col("h").bitwiseAND(F.lit((1 << 63) - 1))).where(F.col("v") <= least)
-    signed = low.groupBy("id", "n", "m", (F.col("v") % CLASSES).cast("int").alias("class")).agg(F.min("v").alias("v"))
-    banded = signed.groupBy("id", "n", "m", F.expr(f"class div {ROWS}").alias("band")).agg(F.sum(F.shiftright(F.xxhash64("class", "v"), 4)).alias("sum"))
-    return banded.select(F.xxhash64("id").alias("line_id"), F.col("n").cast("int").alias("n"), F.xxhash64("m", "band", "sum").alias("bucket"))
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """The distinct pairs (a, b) whose lines have den * |intersection| >= num * |union|."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-    texts = lines.select(F.xxhash64("id").alias("line_id"), "line").join(wanted, "line_id", "left_semi").dropDuplicates(["line_id"])
-    cut = F.expr(f"array_distinct(transform(sequence(1, greatest(octet_length(b) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(b, i, {2 * SHINGLE}))))")
-    sets = texts.select("line_id", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("b")).select("line_id", cut.alias("s"))
-    both = pairs.join(sets.withColumnsRenamed({"line_id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"line_id": "b", "s": "sb"}), "b")
-    counted = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+def _every(b: str) -> str:
+    """SQL for the hashes of all shingles of a line encoded in UTF-16BE."""
+    return f"array_distinct(transform(sequence(1, greatest(octet_length({b}) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring({b}, i, {2 * SHINGLE}))))"
+
+
+def buckets(lines: DataFrame) -> DataFrame:
+    """lines with the array of BANDS buckets, a row for each way to sign (worded or not, times m) that the line is in."""
+    starts = F.expr(rf"regexp_extract_all(line, '(?s)(?<!\\S)\\S.{{{SHINGLE - 1}}}', 0)")
+    out = lines.withColumn("n", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)))
+    out = out.withColumn("words", F.when(F.col("n") >= LONG, starts))
+    out = out.withColumn("b", F.encode("line", "UTF-16BE"))
+    dense = F.size("words") * SPARSE
+    plain = F.when((F.col("n") < LONG * SLACK) | (dense < F.col("n") * SLACK), F.expr(_every("b")))
+    worded = F.when((F.col("n") >= LONG) & (dense >= F.col("n")), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
+    rest = [F.col(c) for c in lines.columns if c != "line"] + [F.col("n")]
+    out = out.select(*rest, plain.alias("plain"), worded.alias("worded")).select(*rest, F.posexplode(F.array("plain", "worded")).alias("worded", "set")).where("set is not null")
+    regimes = F.array_compact(F.array(*[F.when((F.size("set") >= lo) & (F.size("set") < hi * SLACK), F.lit(m)) for lo, hi, m in REGIMES]))
+    out = out.withColumn("m", F.explode(regimes))
+    again = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform("set", lambda h: F.xxhash64(h, j))))
+    points = [F.lit((1 << 64) // BANDS * i - (1 << 62) * 2 + 1) for i in range(BANDS)]
+    out = out.withColumn("set", F.when(F.col("m") == 1, F.col("set")).otherwise(again))
+    out = out.withColumn("ring", F.sort_array(F.concat(F.array(*points), "set")))
+    keys = [F.xxhash64("worded", "m", F.slice("ring", F.array_position("ring", p).cast("int"), ROWS + 1)) for p in points]
+    return out.withColumn("buckets", F.array(*keys)).drop("set", "ring")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs (a, b) whose lines have den * |intersection| >= num * |union|. Texts travel, sets are made where
+    they meet."""
+    side = lambda c: texts.select(F.col("line_id").alias(c), F.encode("line", "UTF-16BE").alias(f"{c}_b"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.explode(F.array(F.struct(F.expr(_every("a_b")).alias("a"), F.expr(_every("b_b")).alias("b")))).alias("s"))
+    counted = both.select("a", "b", (F.size("s.a") + F.size("s.b")).alias("n"), F.size(F.array_intersect("s.a", "s.b")).alias("common"))
     return counted.where(F.col("common") * den >= (F.col("n") - F.col("common")) * num).select("a", "b")
 
 
-def line_components(lines: DataFrame, scratch: Scratch, num: int = 8, den: int = 10) -> DataFrame:
+def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num: int = 8, den: int = 10) -> DataFrame:
     """(node, component) of the distinct lines that have a link, by 64-bit names.
 
     In each bucket every line is compared with the bucket's smallest, and in a second round those that fell in another
     component than that one with all lines of other components: no group is expanded into all its pairs and no link
     between candidates is lost."""
     in_bucket = Window.partitionBy("bucket")
-    held = bands(lines).withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "size": F.count("*").over(in_bucket)}).where("size > 1")
+    found = signed.select("line_id", "n", F.explode("buckets").alias("bucket"))
+    held = found.withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "last": F.max("line_id").over(in_bucket)}).where("last <> lead.line_id")
     held = scratch.cut(held.select("bucket", "line_id", "n", F.col("lead.line_id").alias("lead"), F.col("lead.n").alias("lead_n")))
-    near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num} * 0.99 - {den}"
+    near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num} * 0.5"
     star = scratch.cut(held.where("line_id <> lead").where(near("n", "lead_n")).select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct())
-    links = scratch.cut(_verified(star, lines, num, den))
+    texts = lines.select(F.xxhash64("id").alias("line_id"), "line").join(held.select("line_id").distinct(), "line_id", "left_semi").dropDuplicates(["line_id"])
+    texts = scratch.cut(texts)
+    links = scratch.cut(_verified(star, texts, num, den))
     comp = scratch.cut(components(links, scratch))
     label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
     placed = held.join(label("line_id", "own"), "line_id", "left").join(label("lead", "lead_own"), "lead", "left").withColumns({"own": F.coalesce("own", "line_id"), "lead_own": F.coalesce("lead_own", "lead")})
@@ -79,8 +93,8 @@ def line_components(lines: DataFrame, scratch: Scratch, num: int = 8, den: int =
     cross = out.join(placed, "bucket").where("o_own <> own and (own = lead_own or o < line_id)").where(near("n", "o_n"))
     cross = cross.select(F.least("o", "line_id").alias("a"), F.greatest("o", "line_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     cross = scratch.cut(cross)
-    more = scratch.cut(_verified(cross, lines, num, den))
-    scratch.drop(held, star, cross)
+    more = scratch.cut(_verified(cross, texts, num, den))
+    scratch.drop(held, star, cross, texts)
     return scratch.cut(components(links.unionByName(more), scratch))
 
 
@@ -88,19 +102,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     """docs with the text reduced to the lines that stay; columns and rows are as before."""
     scratch = Scratch(docs.sparkSession)
     lines = split_lines(docs, key, text)
-    comp = line_components(lines, scratch, num, den)
-    firsts = lines.groupBy("id").agg(F.min(F.struct("doc", "page", "no")).alias("first")).withColumn("node", F.xxhash64("id"))
-    grouped = firsts.join(comp, "node", "left").groupBy(F.coalesce(F.hex("component"), F.hex("id")).alias("of")).agg(F.min("first").alias("first"))
+    one = buckets(lines).groupBy("id", "worded", "m").agg(F.min(F.struct("doc", "page", "no")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    signed = scratch.cut(one.select("id", "first", "n", "buckets", F.xxhash64("id").alias("line_id")))
+    comp = line_components(signed, lines, scratch, num, den)
+    grouped = signed.select("id", "first", F.col("line_id").alias("node")).join(comp, "node", "left").groupBy(F.coalesce(F.hex("component"), F.hex("id")).alias("of")).agg(F.min("first").alias("first"))
     stays = grouped.groupBy(F.col("first.doc").alias("__doc"), F.col("first.page").alias("__page")).agg(F.collect_list("first.no").alias("__stay"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("__md5", F.unhex(F.md5(names[text])))
     k, t = names[key], names[text]
     joined = plain.join(stays, F.col(k).eqNullSafe(F.col("__doc")) & (F.col("__md5") == F.col("__page")), "left")
     ranked = joined.withColumn("__copy", F.row_number().over(Window.partitionBy(k, "__md5").orderBy(F.lit(1))))
-    parts = F.split(t, "\n", -1)
-    blank = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.element_at(parts, i).rlike(r"^\s*$"))
+    ranked = ranked.withColumn("__parts", F.split(t, "\n", -1))
+    blank = F.filter(F.sequence(F.lit(1), F.size("__parts")), lambda i: F.trim(F.element_at("__parts", i), F.lit(BLANKS)) == "")
     own = F.when((F.col("__copy") == 1) & F.col("__stay").isNotNull(), F.col("__stay")).otherwise(F.array().cast("array<int>"))
-    kept = F.array_join(F.transform(F.array_sort(F.concat(blank, own)), lambda i: F.element_at(parts, i)), "\n")
+    kept = F.array_join(F.transform(F.array_sort(F.concat(blank, own)), lambda i: F.element_at("__parts", i)), "\n")
     return ranked.select([(F.when(F.col(t).isNotNull(), kept) if c == text else F.col(n)).alias(c) for c, n in names.items()])
 
 
