@@ -21,18 +21,22 @@ from terncube.llm.runtime import Scratch, components
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
 #: Lines of LONG shingles or more sign with shingles at word starts, if there is one in SPARSE characters.
-LONG, SPARSE = 96, 16
+LONG, SPARSE = 64, 16
 #: Sets of lo to hi shingles are hashed so many times over. Limits overlap by SLACK, for lengths and for these ranges: a line
 #: near one signs on both sides of it, so that any two lines of similarity 0.8 sign alike at least once.
-REGIMES, SLACK = [(1, 4, 32), (4, 8, 16), (8, 16, 8), (16, 32, 4), (32, 64, 2), (64, 1 << 40, 1)], 1.3
+REGIMES, SLACK = [(1, 2, 32), (2, 4, 16), (4, 8, 8), (8, 16, 4), (16, 32, 2), (32, 1 << 40, 1)], 1.3
 BLANKS = " \t\n\x0b\f\r"
+BLANK_CODES = [ord(c) for c in BLANKS]
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, page, no, line, id): every line that is not blank, with the digest of its text, its number from 1 on and the
     digest of its compared form."""
-    rows = docs.select(F.col(key).alias("doc"), F.unhex(F.md5(text)).alias("page"), F.posexplode(F.split(text, "\n", -1)).alias("at", "raw"))
-    lines = rows.select("doc", "page", (F.col("at") + 1).alias("no"), F.lower(F.trim("raw", F.lit(BLANKS))).alias("line"))
+    parts = docs.select(F.col(key).alias("doc"), F.unhex(F.md5(text)).alias("page"), F.split(text, "\n", -1).alias("parts"))
+    rows = parts.select("doc", "page", F.posexplode("parts").alias("at", "raw"))
+    edge = F.ascii(F.left("raw", F.lit(1))).isin(BLANK_CODES) | F.ascii(F.right("raw", F.lit(1))).isin(BLANK_CODES)
+    form = F.lower(F.when(edge, F.trim("raw", F.lit(BLANKS))).otherwise(F.col("raw")))
+    lines = rows.select("doc", "page", (F.col("at") + 1).alias("no"), F.explode(F.array(form)).alias("line"))
     return lines.where("line <> ''").withColumn("id", F.unhex(F.md5("line")))
 
 
@@ -46,9 +50,9 @@ def buckets(lines: DataFrame) -> DataFrame:
     starts = F.expr(rf"regexp_extract_all(line, '(?s)(?<!\\S)\\S.{{{SHINGLE - 1}}}', 0)")
     out = lines.withColumn("n", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)))
     out = out.withColumn("words", F.when(F.col("n") >= LONG, starts))
-    out = out.withColumn("b", F.encode("line", "UTF-16BE"))
     dense = F.size("words") * SPARSE
-    plain = F.when((F.col("n") < LONG * SLACK) | (dense < F.col("n") * SLACK), F.expr(_every("b")))
+    out = out.withColumn("b", F.when((F.col("n") < LONG * SLACK) | (dense < F.col("n") * SLACK), F.encode("line", "UTF-16BE")))
+    plain = F.when(F.col("b").isNotNull(), F.expr(_every("b")))
     worded = F.when((F.col("n") >= LONG) & (dense >= F.col("n")), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
     rest = [F.col(c) for c in lines.columns if c != "line"] + [F.col("n")]
     out = out.select(*rest, plain.alias("plain"), worded.alias("worded")).select(*rest, F.posexplode(F.array("plain", "worded")).alias("worded", "set")).where("set is not null")
