@@ -24,7 +24,7 @@ SHINGLE, BANDS, ROWS = 8, 10, 4
 LONG, SPARSE = 64, 16
 #: Sets of lo to hi shingles are hashed so many times over. Limits overlap by SLACK, for lengths and for these ranges: a line
 #: near one signs on both sides of it, so that any two lines of similarity 0.8 sign alike at least once.
-REGIMES, SLACK = [(1, 2, 32), (2, 4, 16), (4, 8, 8), (8, 16, 4), (16, 32, 2), (32, 1 << 40, 1)], 1.3
+REGIMES, SLACK = [(1, 2, 64), (2, 4, 32), (4, 8, 16), (8, 16, 8), (16, 32, 4), (32, 64, 2), (64, 1 << 40, 1)], 1.3
 BLANKS = " \t\n\x0b\f\r"
 BLANK_CODES = [ord(c) for c in BLANKS]
 
@@ -46,7 +46,8 @@ def _every(b: str) -> str:
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """lines with the array of BANDS buckets, a row for each way to sign (worded or not, times m) that the line is in."""
+    """lines with the array of BANDS buckets, a row for each way to sign (worded or not, times m) that the line is in. A
+    point with fewer than ROWS hashes before the next one gives no bucket: it would gather lines that share little."""
     starts = F.expr(rf"regexp_extract_all(line, '(?s)(?<!\\S)\\S.{{{SHINGLE - 1}}}', 0)")
     out = lines.withColumn("n", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)))
     out = out.withColumn("words", F.when(F.col("n") >= LONG, starts))
@@ -59,11 +60,13 @@ def buckets(lines: DataFrame) -> DataFrame:
     regimes = F.array_compact(F.array(*[F.when((F.size("set") >= lo) & (F.size("set") < hi * SLACK), F.lit(m)) for lo, hi, m in REGIMES]))
     out = out.withColumn("m", F.explode(regimes))
     again = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform("set", lambda h: F.xxhash64(h, j))))
-    points = [F.lit((1 << 64) // BANDS * i - (1 << 62) * 2 + 1) for i in range(BANDS)]
+    points = [(1 << 64) // BANDS * i - (1 << 62) * 2 + 1 for i in range(BANDS)]
     out = out.withColumn("set", F.when(F.col("m") == 1, F.col("set")).otherwise(again))
-    out = out.withColumn("ring", F.sort_array(F.concat(F.array(*points), "set")))
-    keys = [F.xxhash64("worded", "m", F.slice("ring", F.array_position("ring", p).cast("int"), ROWS + 1)) for p in points]
-    return out.withColumn("buckets", F.array(*keys)).drop("set", "ring")
+    out = out.withColumn("ring", F.sort_array(F.concat(F.array(*map(F.lit, points)), "set")))
+    out = out.select("*", *[F.slice("ring", F.array_position("ring", F.lit(p)).cast("int"), ROWS + 1).alias(f"w{i}") for i, p in enumerate(points)])
+    ends = [*points[1:], (1 << 63) - 1]
+    keys = [F.when(F.get(f"w{i}", F.lit(ROWS)) < end, F.xxhash64("worded", "m", f"w{i}")) for i, end in enumerate(ends)]
+    return out.withColumn("buckets", F.array_compact(F.array(*keys))).drop("set", "ring", *[f"w{i}" for i in range(BANDS)])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
