@@ -79,7 +79,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFra
 
 
 def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num: int = 8, den: int = 10) -> DataFrame:
-    """(node, component) of the distinct lines that have a link, by 64-bit names.
+    """(node, component) of the distinct lines that have a link, by 64-bit names. signed is deleted once it is read.
 
     In each bucket every line is compared with the bucket's smallest, and in a second round those that fell in another
     component than that one with all lines of other components: no group is expanded into all its pairs and no link
@@ -88,6 +88,7 @@ def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num:
     found = signed.select("line_id", "n", F.explode("buckets").alias("bucket"))
     held = found.withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "last": F.max("line_id").over(in_bucket)}).where("last <> lead.line_id")
     held = scratch.cut(held.select("bucket", "line_id", "n", F.col("lead.line_id").alias("lead"), F.col("lead.n").alias("lead_n")))
+    scratch.drop(signed)
     near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num} * 0.5"
     star = scratch.cut(held.where("line_id <> lead").where(near("n", "lead_n")).select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct())
     texts = lines.select(F.xxhash64("id").alias("line_id"), "line").join(held.select("line_id").distinct(), "line_id", "left_semi").dropDuplicates(["line_id"])
@@ -111,8 +112,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     lines = split_lines(docs, key, text)
     one = buckets(lines).groupBy("id", "worded", "m").agg(F.min(F.struct("doc", "page", "no")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     signed = scratch.cut(one.select("id", "first", "n", "buckets", F.xxhash64("id").alias("line_id")))
+    firsts = scratch.cut(signed.select("id", "first", F.col("line_id").alias("node")))
     comp = line_components(signed, lines, scratch, num, den)
-    grouped = signed.select("id", "first", F.col("line_id").alias("node")).join(comp, "node", "left").groupBy(F.coalesce(F.hex("component"), F.hex("id")).alias("of")).agg(F.min("first").alias("first"))
+    grouped = firsts.join(comp, "node", "left").groupBy(F.coalesce(F.hex("component"), F.hex("id")).alias("of")).agg(F.min("first").alias("first"))
     stays = grouped.groupBy(F.col("first.doc").alias("__doc"), F.col("first.page").alias("__page")).agg(F.collect_list("first.no").alias("__stay"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     plain = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("__md5", F.unhex(F.md5(names[text])))
