@@ -2,9 +2,8 @@
 
 Lines are compared trimmed and in lower case, as sets of shingles of SHINGLE characters (a shorter line is one shingle).
 The signature of a line is its sorted shingle hashes: each of BANDS points on the hash ring takes the ROWS hashes that
-follow it, one permutation serving all bands. Long lines sign with the shingles at word starts alone, if they have enough
-of them; short ones hash each shingle several times, so that the ring is filled. Lines that agree in a band are
-candidates, verified on all shingles of both; the first of each component of verified links stays where it first occurs
+follow it, one permutation serving all bands. Every line signs with all its shingles; short ones hash each several times,
+so that the ring is filled. Lines that agree in a band are candidates, verified on all shingles of both; the first of each component of verified links stays where it first occurs
 (by document id, text and line number).
 
 Defined results: a null text stays null and an empty one empty; lines of white space only stay, all of them; of repeated
@@ -20,10 +19,8 @@ from pyspark.sql import functions as F
 from terncube.llm.runtime import Scratch, components
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
-#: Lines of LONG shingles or more sign with shingles at word starts, if there is one in SPARSE characters.
-LONG, SPARSE = 64, 16
-#: Sets of lo to hi shingles are hashed so many times over. Limits overlap by SLACK, for lengths and for these ranges: a line
-#: near one signs on both sides of it, so that any two lines of similarity 0.8 sign alike at least once.
+#: Sets of lo to hi shingles are hashed so many times over. The ranges overlap by SLACK: a set near a limit signs on both
+#: sides of it, so that any two lines of similarity 0.8 sign alike at least once.
 REGIMES, SLACK = [(1, 2, 64), (2, 4, 32), (4, 8, 16), (8, 16, 8), (16, 32, 4), (32, 64, 2), (64, 1 << 40, 1)], 1.3
 BLANKS = " \t\n\x0b\f\r"
 BLANK_CODES = [ord(c) for c in BLANKS]
@@ -46,17 +43,11 @@ def _every(b: str) -> str:
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """lines with the array of BANDS buckets, a row for each way to sign (worded or not, times m) that the line is in. A
-    point with fewer than ROWS hashes before the next one gives no bucket: it would gather lines that share little."""
-    starts = F.expr(rf"regexp_extract_all(line, '(?s)(?<!\\S)\\S.{{{SHINGLE - 1}}}', 0)")
-    out = lines.withColumn("n", F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)))
-    out = out.withColumn("words", F.when(F.col("n") >= LONG, starts))
-    dense = F.size("words") * SPARSE
-    out = out.withColumn("b", F.when((F.col("n") < LONG * SLACK) | (dense < F.col("n") * SLACK), F.encode("line", "UTF-16BE")))
-    plain = F.when(F.col("b").isNotNull(), F.expr(_every("b")))
-    worded = F.when((F.col("n") >= LONG) & (dense >= F.col("n")), F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
-    rest = [F.col(c) for c in lines.columns if c != "line"] + [F.col("n")]
-    out = out.select(*rest, plain.alias("plain"), worded.alias("worded")).select(*rest, F.posexplode(F.array("plain", "worded")).alias("worded", "set")).where("set is not null")
+    """lines with the array of BANDS buckets, a row for each number m of hashes a shingle that the line is in. A point with
+    fewer than ROWS hashes before the next one gives no bucket: it would gather lines that share little."""
+    rest = [F.col(c) for c in lines.columns if c != "line"]
+    n = F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)).alias("n")
+    out = lines.withColumn("b", F.encode("line", "UTF-16BE")).select(*rest, n, F.explode(F.array(F.expr(_every("b")))).alias("set"))
     regimes = F.array_compact(F.array(*[F.when((F.size("set") >= lo) & (F.size("set") < hi * SLACK), F.lit(m)) for lo, hi, m in REGIMES]))
     out = out.withColumn("m", F.explode(regimes))
     again = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform("set", lambda h: F.xxhash64(h, j))))
@@ -65,7 +56,7 @@ def buckets(lines: DataFrame) -> DataFrame:
     out = out.withColumn("ring", F.sort_array(F.concat(F.array(*map(F.lit, points)), "set")))
     out = out.select("*", *[F.slice("ring", F.array_position("ring", F.lit(p)).cast("int"), ROWS + 1).alias(f"w{i}") for i, p in enumerate(points)])
     ends = [*points[1:], (1 << 63) - 1]
-    keys = [F.when(F.get(f"w{i}", F.lit(ROWS)) < end, F.xxhash64("worded", "m", f"w{i}")) for i, end in enumerate(ends)]
+    keys = [F.when(F.get(f"w{i}", F.lit(ROWS)) < end, F.xxhash64("m", f"w{i}")) for i, end in enumerate(ends)]
     return out.withColumn("buckets", F.array_compact(F.array(*keys))).drop("set", "ring", *[f"w{i}" for i in range(BANDS)])
 
 
@@ -110,7 +101,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     """docs with the text reduced to the lines that stay; columns and rows are as before."""
     scratch = Scratch(docs.sparkSession)
     lines = split_lines(docs, key, text)
-    one = buckets(lines).groupBy("id", "worded", "m").agg(F.min(F.struct("doc", "page", "no")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    one = buckets(lines).groupBy("id", "m").agg(F.min(F.struct("doc", "page", "no")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     signed = scratch.cut(one.select("id", "first", "n", "buckets", F.xxhash64("id").alias("line_id")))
     firsts = scratch.cut(signed.select("id", "first", F.col("line_id").alias("node")))
     comp = line_components(signed, lines, scratch, num, den)

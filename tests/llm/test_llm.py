@@ -290,6 +290,37 @@ def brute_lines(rows, k=lines.SHINGLE):
     return lambda i, t: "\n".join(x for no, x in enumerate(t.split("\n")) if not x.strip() or (i, t, no) in kept)
 
 
+def edited_lines(chars, seed):
+    """A line of short words and three edits of it: a word in front, a word dropped, a word replaced."""
+    rng, words = random.Random(seed), []
+    while sum(map(len, words)) + len(words) < chars:
+        words.append("".join(rng.choices("abcdefghijklmnop", k=rng.randint(1, 4))))
+    at = rng.randrange(len(words))
+    return " ".join(words), {"front": " ".join(["12", *words]), "dropped": " ".join(words[:at] + words[at + 1 :]), "replaced": " ".join(words[:at] + ["qq"] + words[at + 1 :])}
+
+
+def line_recall(spark, lengths, n):
+    """By length and kind of edit: pairs of similarity 0.8 or more, and those of them that share a bucket."""
+    rows, links, k = [], defaultdict(list), lines.SHINGLE
+    shingles = lambda t: {t[j : j + k] for j in range(max(1, len(t) - k + 1))}
+    for chars in lengths:
+        for seed in range(n):
+            base, edits = edited_lines(chars, seed)
+            for kind, text in {"base": base, **edits}.items():
+                rows.append((f"{chars} {seed} {kind}", text))
+                if kind != "base" and 10 * len(shingles(base) & shingles(text)) >= 8 * len(shingles(base) | shingles(text)):
+                    links[chars, kind].append((f"{chars} {seed} base", f"{chars} {seed} {kind}"))
+    held = defaultdict(set)
+    for r in lines.buckets(spark.createDataFrame(rows, "name string, line string").repartition(4)).select("name", "buckets").collect():
+        held[r["name"]].update(r["buckets"])
+    return {of: (len(pairs), sum(bool(held[a] & held[b]) for a, b in pairs)) for of, pairs in links.items()}
+
+
+def test_line_buckets_find_edits(spark):
+    for pairs, found in line_recall(spark, (95, 130, 200), 100).values():
+        assert found >= 0.9 * pairs
+
+
 def test_line_dedup(spark):
     long, rng = sentence(40, 77), random.Random(8)
     edits = [" ".join("zz" if rng.random() < 0.03 else w for w in long.split()) for _ in range(30)]
