@@ -43,11 +43,11 @@ def _every(b: str) -> str:
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """lines with the array of BANDS buckets, a row for each number m of hashes a shingle that the line is in. A point with
-    fewer than ROWS hashes before the next one gives no bucket: it would gather lines that share little."""
+    """lines with n, the size of the shingle set, and the array of BANDS buckets, a row for each number m of hashes a shingle
+    that the line is in. A point with fewer than ROWS hashes before the next one gives no bucket: it would gather lines
+    that share little."""
     rest = [F.col(c) for c in lines.columns if c != "line"]
-    n = F.greatest(F.length("line") - (SHINGLE - 1), F.lit(1)).alias("n")
-    out = lines.withColumn("b", F.encode("line", "UTF-16BE")).select(*rest, n, F.explode(F.array(F.expr(_every("b")))).alias("set"))
+    out = lines.withColumn("b", F.encode("line", "UTF-16BE")).select(*rest, F.explode(F.array(F.expr(_every("b")))).alias("set")).withColumn("n", F.size("set"))
     regimes = F.array_compact(F.array(*[F.when((F.size("set") >= lo) & (F.size("set") < hi * SLACK), F.lit(m)) for lo, hi, m in REGIMES]))
     out = out.withColumn("m", F.explode(regimes))
     again = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform("set", lambda h: F.xxhash64(h, j))))
@@ -80,7 +80,7 @@ def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num:
     held = found.withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "last": F.max("line_id").over(in_bucket)}).where("last <> lead.line_id")
     held = scratch.cut(held.select("bucket", "line_id", "n", F.col("lead.line_id").alias("lead"), F.col("lead.n").alias("lead_n")))
     scratch.drop(signed)
-    near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num} * 0.5"
+    near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}"  # noqa: E731  (sizes bound the similarity)
     star = scratch.cut(held.where("line_id <> lead").where(near("n", "lead_n")).select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct())
     texts = lines.select(F.xxhash64("id").alias("line_id"), "line").join(held.select("line_id").distinct(), "line_id", "left_semi").dropDuplicates(["line_id"])
     texts = scratch.cut(texts)

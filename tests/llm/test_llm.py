@@ -333,6 +333,14 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_repetitive_lines(spark):
+    rows = [(i, t) for i, t in enumerate(["-" * 10, "-" * 40, "=-" * 8, "=-" * 30, "ha " * 5, "ha " * 20])]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_lines(rows)
+    assert got == {i: want(i, t) for i, t in rows}
+    assert got[1] == got[3] == got[5] == ""
+
+
 @pytest.mark.parametrize("data", [b"", b"a", bytes(range(256)) * 5, b"\xff" * 300, "é".encode() * 5000])
 def test_media_round_trip(data):
     payload = media.padded(data)
