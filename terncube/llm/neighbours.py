@@ -3,7 +3,9 @@
 Vectors are lifted to the unit sphere so that the largest inner product is the smallest angle, rotated by fast Hadamard
 pseudo-rotations and assigned to the nearest signed axis. A table joins two such hashes, the second over few axes so that
 the number of buckets follows the number of vectors; a query probes the cheapest buckets of every table and its
-candidates are ranked exactly, in double precision.
+candidates are ranked exactly, in double precision. How many buckets is measured on each table: the exact neighbours of a
+sample of its queries tell how many probes find them. Where that would visit half the table or more, all of it is
+compared.
 
 Defined results: vectors that are null, zero, of another dimension than the most frequent one, or that hold null or
 non-finite components take no part, nor do rows without an id; equal vectors are found as one class and told apart by id;
@@ -86,7 +88,7 @@ class CrossPolytope:
         for t in range(self.tables):
             found = []
             for s in self.scores(lifted, t):
-                order = np.argsort(-s, axis=1, kind="stable")[:, :n]
+                order = np.argsort(-s, axis=1, kind="stable")[:, : min(n, s.shape[1])]
                 best = np.take_along_axis(s, order, 1)
                 found.append((order, (best[:, :1] - best) ** 2))
             (i, u), (j, v) = found
@@ -95,6 +97,18 @@ class CrossPolytope:
             out.append(np.take_along_axis(pair, np.argsort(loss, axis=1, kind="stable")[:, :n], 1))
         return np.stack(out, 1).astype(np.int32)
 
+    def needed(self, query: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """For each pair of rows the least number of probes with which some table finds other for query."""
+        asks, held, out = self.lift(query, True), self.lift(other, False), np.full(len(query), 1 << 30)
+        for t in range(self.tables):
+            (a, b), (c, d) = self.scores(asks, t), self.scores(held, t)
+            u, v = ((s.max(1, keepdims=True) - s) ** 2 for s in (a, b))
+            rows = np.arange(len(u))
+            loss, v = u[rows, c.argmax(1)] + v[rows, d.argmax(1)], np.sort(v, 1)
+            ranks = [np.searchsorted(y, z + 1e-12 - x, side="right").sum() for x, y, z in zip(u, v, loss, strict=True)]
+            out = np.minimum(out, ranks)
+        return out
+
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -112,12 +126,54 @@ def _best(query: np.ndarray, other: np.ndarray, score: np.ndarray, n: int) -> np
     return order[rank < n]
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = 16, probes: int = 32, per_bucket: int = 20, block: int = 8192) -> DataFrame:
+def _probes_for(classes: DataFrame, hashes: CrossPolytope, n: int, recall: float, sample: int) -> int:
+    """How many probes a table find the recall-th part of the n best classes of sample asking classes, those with the
+    smallest hashes. The sample travels to every task, which sends back its n best for each; only a number returns."""
+    asking = classes.where("asks").select("class", "v").orderBy(F.xxhash64("class"), "class").limit(sample).collect()
+    if not asking:
+        return 0
+    names, asks, dim = np.array([r["class"] for r in asking]), np.array([r["v"] for r in asking]), hashes.dim
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # (query, class, score, vector) of the best so far
+        for b in batches:
+            for lo in range(0, b.num_rows, 8192):
+                part = b.slice(lo, 8192)
+                ids, v = part.column("class").to_numpy(), _matrix(part.column("v"), dim)
+                score = asks @ v.T
+                m = min(n + 1, len(ids))
+                top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                at = top.reshape(-1)
+                held.append((np.repeat(np.arange(len(asks)), m), ids[at], np.take_along_axis(score, top, 1).reshape(-1), v[at]))
+                q, o, s, w = (np.concatenate(c) for c in zip(*held, strict=True))
+                best = _best(q, o, s, n + 1)
+                held = [(q[best], o[best], s[best], w[best])]
+        if held:
+            q, o, s, w = held[0]
+            vectors = pa.ListArray.from_arrays(np.arange(0, w.size + 1, dim, dtype=np.int32), pa.array(w.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(o), pa.array(s), vectors], names=["query", "class", "score", "v"])
+
+    @F.pandas_udf("int")
+    def needed(query: pd.Series, v: pd.Series) -> pd.Series:
+        out = [hashes.needed(asks[query.iloc[lo : lo + 512].to_numpy()], np.stack(v.iloc[lo : lo + 512].to_numpy())) for lo in range(0, len(v), 512)]
+        return pd.Series(np.concatenate(out) if out else [], dtype="int32")
+
+    met = classes.select("class", "v").mapInArrow(rank, "query int, class long, score double, v array<double>")
+    own = F.col("class") == F.element_at(F.array(*map(F.lit, names.tolist())), F.col("query") + 1)
+    true = met.where(~own).withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("n") < n)
+    found = true.select(needed("query", "v").alias("needed")).agg(F.percentile("needed", F.lit(recall)).alias("p")).first()["p"]
+    return int(np.ceil(found)) if found is not None else 0
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str = "embedding", tables: int = 16, probes: int = 32, per_bucket: int = 20, block: int = 8192, recall: float = 0.95, sample: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which is_query holds, its k nearest other rows by inner product.
 
     Equal vectors are one class that lists its k + 1 smallest ids: no answer needs more. Every table is one shuffle of the
     classes; a bucket of more than block classes is dealt out over several tasks, which its queries visit all. A task
-    keeps the k + 1 best classes of each query it has met, so what leaves it is bounded by its queries."""
+    keeps the k + 1 best classes of each query it has met, so what leaves it is bounded by its queries.
+
+    probes is the least number a table; it is raised until that share (recall) of the exact neighbours of sample queries is
+    found. If the candidates are then half of the classes or more, every query is compared with every class."""
     spark, scratch, keep = vectors.sparkSession, Scratch(vectors.sparkSession), k + 1
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -136,13 +192,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     more = whole["n"] // (per_bucket * 2 * padded)
     hashes = CrossPolytope(dims["d"], whole["norm"], tables, min(padded, 1 << (more.bit_length() - 1)) if more else 0)
     dim = hashes.dim
+    probes = max(probes, _probes_for(classes, hashes, keep, recall, sample))
+    width = 2 * padded * max(1, 2 * hashes.axes)
+    scan = probes >= width or 2 * tables * probes >= width
 
     def places(ask: bool):
         @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
         def of(v: pd.Series) -> pd.Series:
             out = []
-            for lo in range(0, len(v), 1024):
-                x = np.stack(v.iloc[lo : lo + 1024].to_numpy())
+            rows = max(16, min(1024, (1 << 22) // (min(probes, 2 * padded) * min(probes, max(1, 2 * hashes.axes))))) if ask else 1024
+            for lo in range(0, len(v), rows):
+                x = np.stack(v.iloc[lo : lo + rows].to_numpy())
                 found = hashes.probes(x, probes) if ask else hashes.buckets(x)[:, :, None]
                 out += [[list(map(int, t)) for t in r] for r in found]
             return pd.Series(out)
@@ -150,6 +210,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         return of
 
     def spread(df: DataFrame, ask: bool) -> DataFrame:
+        if scan:
+            return df.select("class", "v", F.lit(0).alias("table"), F.lit(0).alias("bucket"))
         by_table = df.withColumn("places", places(ask)("v")).select("class", "v", F.posexplode("places").alias("table", "buckets"))
         return by_table.select("class", "v", "table", F.explode("buckets").alias("bucket"))
 

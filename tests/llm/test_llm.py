@@ -174,6 +174,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.where("vec_id in (0, 1, 2)"), F.lit(True)).count() == 6
 
 
+def test_neighbours_raise_their_probes(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, tables=4, probes=2, per_bucket=1).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(v & {i for i in np.argsort(-(x @ x[q]), kind="stable")[:21].tolist() if i != q}) for q, v in got.items())
+    assert len(got) == 150 and hits >= 0.9 * 20 * 150
+
+
+def test_probes_needed():
+    x = np.random.default_rng(4).normal(size=(80, 24))
+    hashes = neighbours.CrossPolytope(24, float(np.linalg.norm(x, axis=1).max()), 3, 4)
+    needed, held = hashes.needed(x[:40], x[40:]), hashes.buckets(x[40:])
+    for n in (1, 5, 40, 200):
+        met = (hashes.probes(x[:40], n) == held[:, :, None]).any((1, 2))
+        assert (met == (needed <= n)).all()
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
