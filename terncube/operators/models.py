@@ -103,19 +103,27 @@ def importance(training: DataFrame, predictors: Sequence[str], response: str = "
     return training.withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(run, "predictor string, importance double")
 
 
-def trend_bootstrap(training: DataFrame, predictors: Sequence[str], n: int = 20, seed: int = 42, response: str = "occurrence") -> DataFrame:
-    """(year, bootMean, bootSE, lwr95, upr95, nBootOK): ridge refits on resampled rows, one task a draw, predicted on the
-    yearly means of the predictors."""
-    draws = training.sparkSession.range(n).select(F.col("id").cast("int").alias("draw"))
+def trend_bootstrap(training: DataFrame, predictors: Sequence[str], n: int = 200, seed: int = 42, response: str = "occurrence") -> DataFrame:
+    """(year, bootMean, bootSE, lwr95, upr95, nBootOK): ridge refits on resampled rows, one task a draw, each with its own
+    five-fold one-standard-error penalty; a year's value is the mean prediction of its rows without a null predictor. A draw
+    of one class, or whose fit fails, is left out."""
+    draws = training.sparkSession.range(n).select(F.col("id").cast("int").alias("draw")).repartition(n)
     spread = draws.join(training.select("row_id", "year", *predictors, response))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row_id")
-        rng = np.random.default_rng([seed, int(frame["draw"].iloc[0])])
-        x, y = _arrays(frame.iloc[rng.integers(0, len(frame), len(frame))], predictors, response)
-        yearly = frame.groupby("year")[list(predictors)].mean()
-        p = predict(fit_ridge(x, y, lam=0.01), yearly.to_numpy(float)) if len(np.unique(y)) == 2 else np.nan
-        return pd.DataFrame({"year": yearly.index.to_numpy(), "p": p})
-
-    got = spread.groupBy("draw").applyInPandas(run, "year int, p double").where("p is not null and not isnan(p)")
+        frame, draw = frame.sort_values("row_id"), int(frame["draw"].iloc[0])
+        rng = np.random.default_rng([seed, draw])
+        x, y = _arrays(frame, predictors, response)
+        at = rng.integers(0, len(y), len(y)) if len(y) else np.zeros(0, int)
+        cells = frame.dropna(subset=["year", *predictors])
+        p = np.full(len(cells), np.nan)
+        if len(np.unique(y[at])) == 2:
+            try:
+                p = predict(fit_ridge(x[at], y[at], seed=[seed, draw, 1], folds=5), cells[list(predictors)].to_numpy(float))
+            except (np.linalg.LinAlgError, ValueError):
+                pass
+        yearly = pd.Series(p).groupby(cells["year"].to_numpy()).mean()
+        return pd.DataFrame({"year": yearly.index.to_numpy(), "p": yearly.to_numpy()})
+
+    got = spread.repartition(n, "draw").groupBy("draw").applyInPandas(run, "year int, p double").where("p is not null and not isnan(p)")
     return got.groupBy("year").agg(F.avg("p").alias("bootMean"), F.stddev_samp("p").alias("bootSE"), F.percentile("p", F.lit(0.025)).alias("lwr95"), F.percentile("p", F.lit(0.975)).alias("upr95"), F.count("*").alias("nBootOK"))

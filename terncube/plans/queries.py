@@ -381,4 +381,4 @@ def _(s, d):
 
 @query("trend_bootstrap")
 def _(s, d):
-    return L.trend_bootstrap(X.training(s, d), P4, n=8)
+    return L.trend_bootstrap(X.training(s, d), P4, n=200)

@@ -1,5 +1,7 @@
 """Invariants of the operators on small hand-made inputs."""
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,21 @@ def test_models_per_key(spark):
     got = models.predict_with(t, fitted, ["k"], ["a", "b"])
     assert got.where("prob is null").count() == 2 and got.count() == 302
     assert models.block_cv(t.where("k <> 'w' and a is not null"), ["k"], "glm", ["a", "b"]).count() == 300
+
+
+def test_trend_bootstrap_by_its_definition(spark):
+    assert inspect.signature(models.trend_bootstrap).parameters["n"].default == 200
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 2)) * 3
+    y = (x[:, 0] + rng.normal(size=120) > 1).astype(int)
+    df = spark.createDataFrame([(i, 1995 + i % 2, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "row_id long, year int, a double, b double, occurrence int")
+    got = {r["year"]: r for r in models.trend_bootstrap(df, ["a", "b"], n=6).collect()}
+    means = []
+    for draw in range(6):
+        at = np.random.default_rng([42, draw]).integers(0, 120, 120)
+        model = fitters.fit_ridge(x[at], y[at].astype(float), seed=[42, draw, 1], folds=5)
+        means.append([fitters.predict(model, x[k::2]).mean() for k in (0, 1)])
+    for k, year in enumerate((1995, 1996)):
+        p = [m[k] for m in means]
+        assert got[year]["nBootOK"] == 6
+        assert np.allclose([got[year][c] for c in ("bootMean", "bootSE", "lwr95", "upr95")], [np.mean(p), np.std(p, ddof=1), *np.quantile(p, [0.025, 0.975])])
