@@ -1,11 +1,14 @@
 """Model fitting in numpy: each fit returns a plain dict, predict() evaluates any of them.
 
-Families: glm, ridge, brt, rf, nn, gam. All random choices come from the seed. The numbers follow the stated procedures, not
+Families: glm, ridge, brt (brt_search with its learning-rate search), rf, nn, gam. All random choices come from the seed. The numbers follow the stated procedures, not
 another library's random streams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 
 CANONICAL = ("brt", "glm", "gam", "rf", "nn")
@@ -116,46 +119,74 @@ def _binned(x: np.ndarray, bins: int = 64) -> tuple[np.ndarray, list[np.ndarray]
     return np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]), edges
 
 
-def fit_brt(x: np.ndarray, y: np.ndarray, seed: int = 0, trees: int = 100, rate: float = 0.1, depth: int = 2, bag: float = 0.75, least: int = 10) -> dict:
-    """Boosted trees on the logistic loss with Newton leaves and a bag fraction."""
+def _boost(x: np.ndarray, y: np.ndarray, seed: int, rate: float, depth: int, bag: float, least: int) -> tuple[float, Iterator[tuple]]:
+    """The start value and an endless supply of boosted trees."""
     rng, (codes, edges) = np.random.default_rng(seed), _binned(x)
     m = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     start = float(np.log(m / (1 - m)))
-    f, grown = np.full(len(y), start), []
-    for _ in range(trees):
-        at = rng.permutation(len(y))[: max(1, int(bag * len(y)))]
-        p = logistic(f)
-        tree = _grow(x[at], codes[at], edges, (y - p)[at], (p * (1 - p))[at], depth, least, lambda: range(x.shape[1]))
-        f += rate * _eval(tree, x)
-        grown.append(tree)
-    return {"family": "brt", "start": start, "rate": rate, "trees": grown, "depth": depth, "bag": bag}
+
+    def grow() -> Iterator[tuple]:
+        f = np.full(len(y), start)
+        while True:
+            at = rng.permutation(len(y))[: max(1, int(bag * len(y)))]
+            p = logistic(f)
+            tree = _grow(x[at], codes[at], edges, (y - p)[at], (p * (1 - p))[at], depth, least, lambda: range(x.shape[1]))
+            f = f + rate * _eval(tree, x)
+            yield tree
+
+    return start, grow()
+
+
+def fit_brt(x: np.ndarray, y: np.ndarray, seed: int = 0, trees: int = 100, rate: float = 0.1, depth: int = 2, bag: float = 0.75, least: int = 10) -> dict:
+    """Boosted trees on the logistic loss with Newton leaves and a bag fraction."""
+    start, grown = _boost(x, y, seed, rate, depth, bag, least)
+    return {"family": "brt", "start": start, "rate": rate, "trees": list(islice(grown, trees)), "depth": depth, "bag": bag}
+
+
+def _best_trees(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rate: float, seed: int, step: int, most: int, tolerance: float) -> tuple[int, float] | None:
+    """(number of trees, deviance a row) of the least mean deviance over the folds, as gbm.step finds it: all folds grow by
+    step trees until the mean of ten steps lies less than tolerance of the null deviance below that of the ten before, or
+    there are most trees. None (the fit fails) if the deviance rises within the first four steps."""
+    sides = []
+    for k in np.unique(fold):
+        train, test = fold != k, fold == k
+        if len(np.unique(y[train])) == 2:
+            start, grown = _boost(x[train], y[train], seed, rate, 2, 0.75, 10)
+            sides.append([x[test], y[test], np.full(test.sum(), start), grown])
+    if not sides:
+        return None
+    curve, enough = [], tolerance * deviance(y, np.full(len(y), y.mean())) / len(y)
+    while len(curve) * step < most:
+        for side in sides:
+            for tree in islice(side[3], step):
+                side[2] += rate * _eval(tree, side[0])
+        curve.append(float(np.mean([deviance(b, logistic(f)) / len(b) for _, b, f, _ in sides])))
+        if 1 < len(curve) < 5 and curve[-1] > curve[-2]:
+            return None
+        if len(curve) >= 20 and np.mean(curve[-20:-10]) - np.mean(curve[-10:]) <= enough:
+            break
+    return (int(np.argmin(curve)) + 1) * step, min(curve)
 
 
-def search_brt(x: np.ndarray, y: np.ndarray, fold: np.ndarray, rate: float = 0.1, least_trees: int = 20, most_trees: int = 200, low: float = 1e-6, high: float = 1.0, rounds: int = 50, seed: int = 0) -> dict | None:
-    """The learning rate that needs least_trees to most_trees trees by cross-validated deviance: halved when fewer are best
-    or the fit fails, doubled when more would be; None on leaving the bounds."""
+def search_brt(x: np.ndarray, y: np.ndarray, fold: np.ndarray | None = None, rate: float = 0.08, least_trees: int = 1000, most_trees: int = 5000, low: float = 1e-6, high: float = 1.0, rounds: int = 50, seed: int = 0, step: int = 50, tolerance: float = 0.001) -> dict | None:
+    """The learning rate that needs least_trees to most_trees trees by cross-validated deviance (ten folds balanced by class
+    if none are given): halved when fewer are best or the fit fails, doubled when more would be; None on leaving the bounds
+    and after so many rounds."""
+    if fold is None:
+        fold, rng = np.zeros(len(y), int), np.random.default_rng(seed)
+        for k in (0, 1):
+            fold[y == k] = rng.permutation(int((y == k).sum())) % 10
     for _ in range(rounds):
         if not low <= rate <= high:
             return None
-        curve, n = np.zeros(most_trees + 1), 0
-        for k in np.unique(fold):
-            train, test = fold != k, fold == k
-            if len(np.unique(y[train])) < 2 or not test.any():
-                continue
-            model = fit_brt(x[train], y[train], seed, most_trees + 1, rate)
-            f = np.full(test.sum(), model["start"])
-            for t, tree in enumerate(model["trees"]):
-                f += rate * _eval(tree, x[test])
-                curve[t] += deviance(y[test], logistic(f))
-            n += 1
-        best = int(curve.argmin()) + 1
-        if n and least_trees <= best <= most_trees:
-            return fit_brt(x, y, seed, best, rate) | {"best_trees": best, "cv_deviance": float(curve.min() / len(y))}
-        rate = rate * 2 if n and best > most_trees else rate / 2
+        best = _best_trees(x, y, fold, rate, seed, step, 2 * most_trees, tolerance)
+        if best and least_trees <= best[0] <= most_trees:
+            return fit_brt(x, y, seed, best[0], rate) | {"best_trees": best[0], "cv_deviance": best[1]}
+        rate = rate * 2 if best and best[0] > most_trees else rate / 2
     return None
 
 
-def fit_rf(x: np.ndarray, y: np.ndarray, seed: int = 0, trees: int = 100, least: int = 5, depth: int = 12) -> dict:
+def fit_rf(x: np.ndarray, y: np.ndarray, seed: int = 0, trees: int = 1000, least: int = 5, depth: int = 12) -> dict:
     """Regression forest on 0 / 1 with a third of the columns tried at each split."""
     rng, (codes, edges) = np.random.default_rng(seed), _binned(x)
     m, grown = max(x.shape[1] // 3, 1), []
@@ -205,7 +236,7 @@ def fit_gam(x: np.ndarray, y: np.ndarray, seed: int = 0) -> dict:
     return {"family": "gam", "mean": mean, "sd": sd, "columns": [], "knots": [], "b": np.array([np.log(m / (1 - m))])}
 
 
-FITTERS = {"glm": fit_glm, "ridge": fit_ridge, "brt": fit_brt, "rf": fit_rf, "nn": fit_nn, "gam": fit_gam}
+FITTERS = {"glm": fit_glm, "ridge": fit_ridge, "brt": fit_brt, "brt_search": search_brt, "rf": fit_rf, "nn": fit_nn, "gam": fit_gam}
 
 
 def predict(model: dict, x: np.ndarray) -> np.ndarray:

@@ -7,12 +7,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from terncube.functions.fitters import FITTERS, deviance, fit_ridge, predict
 
+#: Groups a model's cells are dealt into, and tasks that fits are dealt out over: adaptive plans would join small ones.
+PARTS, TASKS = 8, 96
+
 
 def ridge_probability(coefficients: Sequence[float], columns: Sequence[str]) -> Column:
     """Logistic of intercept and weighted columns; null if a column is."""
@@ -40,36 +44,39 @@ def fit(training: DataFrame, keys: Sequence[str], family: str, predictors: Seque
             note = "too few presences or absences"
         else:
             try:
-                model = pickle.dumps(FITTERS[family](x, y, **settings))
+                found = FITTERS[family](x, y, **settings)
+                model, note = (pickle.dumps(found), "") if found else (None, "no learning rate found")
             except (np.linalg.LinAlgError, ValueError) as error:
                 note = f"fit failed: {error}"
         return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, "family": family, "model": model, "presences": int(y.sum()), "absences": int((1 - y).sum()), "note": note}])
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "family string, model binary, presences long, absences long, note string"])
-    return training.select(*keys, *predictors, response).groupBy(*keys).applyInPandas(run, schema)
+    return training.select(*keys, *predictors, response).repartition(TASKS, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def predict_with(cells: DataFrame, models: DataFrame, keys: Sequence[str], predictors: Sequence[str], out: str = "prob") -> DataFrame:
-    """cells with the probability of their key's model, null where a predictor is null or there is no model. Models are
-    joined by key and unpickled once per batch and model."""
-    joined = cells.join(models.select(*keys, "model"), list(keys), "left")
-    whole = F.lit(True)
-    for c in predictors:
-        whole = whole & F.col(c).isNotNull()
+    """cells with the probability of their key's model, null where a predictor is null or there is no model. A model meets
+    its cells in PARTS groups by key and hash, so that it travels once a group and not once a row."""
+    part = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in cells.columns]), F.lit(PARTS)).cast("int")
+    left = cells.withColumn("__part", part)
+    right = models.where("model is not null").select(*keys, "model", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
 
-    @F.pandas_udf(DoubleType())
-    def run(model: pd.Series, *columns: pd.Series) -> pd.Series:
-        x, result = np.column_stack([c.to_numpy(float) for c in columns]), np.full(len(model), np.nan)
-        for blob, at in model.groupby(model, sort=False).indices.items():
-            result[at] = predict(pickle.loads(blob), x[at])
-        return pd.Series(result).astype(object).where(~np.isnan(result), None).astype("Float64")
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = rows.drop_columns(["__part"])
+        x = np.column_stack([rows.column(c).cast(pa.float64()).to_numpy() for c in predictors])
+        p = np.full(rows.num_rows, np.nan)
+        whole = ~np.isnan(x).any(1)
+        if found.num_rows and whole.any() and all(found.column(k)[0].is_valid for k in keys):
+            p[whole] = predict(pickle.loads(found.column("model")[0].as_py()), x[whole])
+        return rows.append_column(out, pa.array(p, pa.float64(), mask=np.isnan(p)))
 
-    return joined.withColumn(out, F.when(whole & F.col("model").isNotNull(), run("model", *predictors))).drop("model")
+    schema = StructType([*cells.schema.fields, StructField(out, DoubleType())])
+    return left.groupBy(*keys, "__part").cogroup(right.groupBy(*keys, "__part")).applyInArrow(run, schema)
 
 
 def block_cv(training: DataFrame, keys: Sequence[str], family: str, predictors: Sequence[str], response: str = "occurrence", fold: str = "fold_id", row: str = "row_id", **settings) -> DataFrame:
     """Out-of-fold probabilities (keys, row, fold, y, p): for each fold a fit on the others. Every (key, held-out fold) is
-    a task of its own; a null fold is on neither side."""
+    a task of its own; a null fold is on neither side. p is null where no model was found."""
     kinds = dict(training.dtypes)
     rows = training.where(F.col(fold).isNotNull())
     held = rows.select(*keys, F.col(fold).alias("held")).distinct()
@@ -81,11 +88,12 @@ def block_cv(training: DataFrame, keys: Sequence[str], family: str, predictors:
         x, y = _arrays(train, predictors, response)
         out = test[[*keys, row, fold]].copy()
         out["y"] = test[response].astype("int32")
-        out["p"] = predict(FITTERS[family](x, y, **settings), test[list(predictors)].to_numpy(float)) if len(np.unique(y)) == 2 and len(test) else None
+        model = FITTERS[family](x, y, **settings) if len(np.unique(y)) == 2 and len(test) else None
+        out["p"] = predict(model, test[list(predictors)].to_numpy(float)) if model else None
         return out
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{row} {kinds[row]}", f"{fold} {kinds[fold]}", "y int, p double"])
-    return spread.groupBy(*keys, "held").applyInPandas(run, schema)
+    return spread.repartition(TASKS, *keys, "held").groupBy(*keys, "held").applyInPandas(run, schema)
 
 
 def importance(training: DataFrame, predictors: Sequence[str], response: str = "occurrence") -> DataFrame:

@@ -359,11 +359,11 @@ def _(s, d):
 
 @query("gbt_cv")
 def _(s, d):
-    return M.auc(L.block_cv(_by_year(s, d).where("year = 1995"), ["year"], "brt", P4, trees=30).select("y", "p"))
+    return M.auc(L.block_cv(_by_year(s, d), ["year"], "brt_search", P4).where("p is not null").select("y", "p"))
 
 
 for _family in ("rf", "nn", "gam"):
-    query(f"{_family}_predict")(lambda s, d, f=_family: L.predict_with(_by_year(s, d), L.fit(_by_year(s, d), ["year"], f, P4, **({"trees": 20} if f == "rf" else {})), ["year"], P4).select("row_id", "year", "prob"))
+    query(f"{_family}_predict")(lambda s, d, f=_family: L.predict_with(_by_year(s, d), L.fit(_by_year(s, d), ["year"], f, P4), ["year"], P4).select("row_id", "year", "prob"))
 
 
 @query("stacked_meta")

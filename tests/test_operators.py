@@ -151,3 +151,29 @@ def test_trend_bootstrap_by_its_definition(spark):
         p = [m[k] for m in means]
         assert got[year]["nBootOK"] == 6
         assert np.allclose([got[year][c] for c in ("bootMean", "bootSE", "lwr95", "upr95")], [np.mean(p), np.std(p, ddof=1), *np.quantile(p, [0.025, 0.975])])
+
+
+def test_tree_search_and_forest_as_the_reference_has_them(spark):
+    limits = {k: v.default for k, v in inspect.signature(fitters.FITTERS["brt_search"]).parameters.items()}
+    assert (limits["least_trees"], limits["most_trees"], limits["low"], limits["high"], limits["rounds"], limits["rate"]) == (1000, 5000, 1e-6, 1.0, 50, 0.08)
+    assert inspect.signature(fitters.FITTERS["rf"]).parameters["trees"].default == 1000
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 2))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    model = fitters.search_brt(x, y, rng.integers(0, 3, 200), least_trees=100, most_trees=300, step=10)
+    assert model["rate"] < 0.08 and 100 <= model["best_trees"] == len(model["trees"]) <= 300
+    assert fitters.search_brt(x, np.ones(200)) is None
+    df = spark.createDataFrame([("k", i, i % 2, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "k string, row_id int, fold_id int, a double, b double, occurrence int")
+    none = {"least_trees": 100, "most_trees": 300, "low": 0.07, "high": 0.075}
+    assert models.block_cv(df, ["k"], "brt_search", ["a", "b"], **none).where("p is null").count() == 200
+    fitted = models.fit(df, ["k"], "brt_search", ["a", "b"], **none)
+    assert fitted.first()["note"] == "no learning rate found"
+    assert models.predict_with(df, fitted, ["k"], ["a", "b"]).where("prob is null").count() == 200
+
+
+def test_registered_tree_queries_run_whole():
+    from pathlib import Path
+
+    text = Path(models.__file__).parents[1].joinpath("plans", "queries.py").read_text()
+    cv = text.split('@query("gbt_cv")')[1].split("\n\n")[0]
+    assert "brt_search" in cv and "where(\"year" not in cv and "trees" not in cv
