@@ -1,14 +1,20 @@
 """Fuzzy line deduplication in DataFrame functions only: character-shingle MinHash, banding, exact Jaccard, union-find.
 
 Lines are compared trimmed and in lower case, as sets of shingles of SHINGLE characters (a shorter line is one shingle).
-The signature of a line is its sorted shingle hashes: each of BANDS points on the hash ring takes the ROWS hashes that
-follow it, one permutation serving all bands. Every line signs with all its shingles; short ones hash each several times,
-so that the ring is filled. Lines that agree in a band are candidates, verified on all shingles of both; the first of each component of verified links stays where it first occurs
-(by document id, text and line number).
+Equal lines are collapsed first; only distinct ones are signed. A signature is a sorted ring of shingle hashes: each of
+BANDS points takes the ROWS hashes that follow it, one permutation serving all bands. Lines of MANY or more words sign with
+the shingles at their word starts, the others with all (near the limit with both); sets too small to fill the ring hash
+each shingle several times. Lines that agree in a band are candidates, verified on all shingles of both; of each component
+of verified links the line that occurs first stays (by document id, text and line number).
+
+A bucket's lines are compared with its leader, the line that most buckets lead to. Lines that the leader does not link are
+compared with the others around it by what they differ in from the leader (see _across): no link between lines that share
+a leader is lost, and lines that merely share a template are not expanded into pairs.
 
 Defined results: a null text stays null and an empty one empty; lines of white space only stay, all of them; of repeated
-rows the first keeps its lines, the others lose them; an empty table gives an empty result. Columns other than the key and
-the text are passed along unread, whatever their names.
+rows the first keeps its lines, the others lose them; a null id comes after all others; an empty table gives an empty
+result; texts of any length are split whole (a line's shingle hashes, 8 bytes a character, must fit a task). Columns other
+than the key, an integer, and the text are passed along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,99 +25,154 @@ from pyspark.sql import functions as F
 from terncube.llm.runtime import Scratch, components
 
 SHINGLE, BANDS, ROWS = 8, 10, 4
-#: Sets of lo to hi shingles are hashed so many times over. The ranges overlap by SLACK: a set near a limit signs on both
-#: sides of it, so that any two lines of similarity 0.8 sign alike at least once.
-REGIMES, SLACK = [(1, 2, 64), (2, 4, 32), (4, 8, 16), (8, 16, 8), (16, 32, 4), (32, 64, 2), (64, 1 << 40, 1)], 1.3
+#: From MANY words on a line signs with its word starts. Sets of lo to hi shingles are hashed so many times over. All limits
+#: overlap by SLACK: a set near one signs on both sides of it, so that any two lines of similarity 0.8 sign alike at least
+#: once.
+MANY, SLACK = 24, 1.3
+REGIMES = [(1, 2, 64), (2, 4, 32), (4, 8, 16), (8, 16, 8), (16, 32, 4), (32, 64, 2), (64, 1 << 40, 1)]
+WORD_STARTS = rf"(?s) (?=(.{{{SHINGLE}}}))"
 BLANKS = " \t\n\x0b\f\r"
 BLANK_CODES = [ord(c) for c in BLANKS]
+#: Rows of one leader that meet in one task.
+SALT = 256
+
+
+def _row(key: str, text: str):
+    """A number for a row: its id (null: the largest), then 31 bits of its text's hash, then 31 zero bits for a line number."""
+    wide = lambda c, digits=38: c.cast(f"decimal({digits},0)")
+    half = F.lit(1 << 31)
+    above = wide(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))) + wide(F.lit(1 << 62)) * F.lit(2)
+    page = F.pmod(F.xxhash64(text), half)
+    return wide(wide(wide(above, 20) * wide(half, 10) + page, 29) * wide(half, 10))
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, page, no, line, id): every line that is not blank, with the digest of its text, its number from 1 on and the
-    digest of its compared form."""
-    parts = docs.select(F.col(key).alias("doc"), F.unhex(F.md5(text)).alias("page"), F.split(text, "\n", -1).alias("parts"))
-    rows = parts.select("doc", "page", F.posexplode("parts").alias("at", "raw"))
+    """(place, line): the compared form of every line that is not blank, place being its row's number plus its number there,
+    from 1 on; the order of places is that of ids, texts and lines."""
+    parts = docs.select(_row(key, text).alias("row"), F.split(text, "\n", -1).alias("parts"))
+    rows = parts.select("row", F.posexplode("parts").alias("at", "raw"))
     edge = F.ascii(F.left("raw", F.lit(1))).isin(BLANK_CODES) | F.ascii(F.right("raw", F.lit(1))).isin(BLANK_CODES)
     form = F.lower(F.when(edge, F.trim("raw", F.lit(BLANKS))).otherwise(F.col("raw")))
-    lines = rows.select("doc", "page", (F.col("at") + 1).alias("no"), F.explode(F.array(form)).alias("line"))
-    return lines.where("line <> ''").withColumn("id", F.unhex(F.md5("line")))
+    return rows.select((F.col("row") + (F.col("at") + 1)).cast("decimal(38,0)").alias("place"), F.explode(F.array(form)).alias("line")).where("line <> ''")
 
 
-def _every(b: str) -> str:
-    """SQL for the hashes of all shingles of a line encoded in UTF-16BE."""
-    return f"array_distinct(transform(sequence(1, greatest(octet_length({b}) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring({b}, i, {2 * SHINGLE}))))"
+def _every(line: str) -> str:
+    """SQL for the hashes of all shingles of a line given in UTF-16BE. The line is a lambda's variable: a column read in a
+    lambda is copied for each shingle, which is quadratic in long lines."""
+    one = f"transform(sequence(1, greatest(octet_length(t) - {2 * SHINGLE - 1}, 1), 2), i -> xxhash64(substring(t, i, {2 * SHINGLE})))"
+    return f"array_distinct(get(transform(array({line}), t -> {one}), 0))"
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """lines with n, the size of the shingle set, and the array of BANDS buckets, a row for each number m of hashes a shingle
-    that the line is in. A point with fewer than ROWS hashes before the next one gives no bucket: it would gather lines
-    that share little."""
+    """lines, less the line, with an array of BANDS buckets: a row for each way in which the line signs. A point with fewer
+    than ROWS hashes before the next one gives a null, no bucket: it would gather lines that share little."""
     rest = [F.col(c) for c in lines.columns if c != "line"]
-    out = lines.withColumn("b", F.encode("line", "UTF-16BE")).select(*rest, F.explode(F.array(F.expr(_every("b")))).alias("set")).withColumn("n", F.size("set"))
-    regimes = F.array_compact(F.array(*[F.when((F.size("set") >= lo) & (F.size("set") < hi * SLACK), F.lit(m)) for lo, hi, m in REGIMES]))
-    out = out.withColumn("m", F.explode(regimes))
+    starts = F.array_distinct(F.transform(F.regexp_extract_all(F.concat(F.lit(" "), "line"), F.lit(WORD_STARTS), F.lit(1)), lambda s: F.xxhash64(s)))
+    once = F.struct(starts.alias("starts"), F.encode("line", "UTF-16BE").alias("text"))  # generated: else each use makes it anew
+    out = lines.select(*rest, F.explode(F.array(once)).alias("of"))
+    some = F.when(F.size("of.starts") >= MANY, F.struct(F.lit(True).alias("words"), F.col("of.starts").alias("set")))
+    every = F.when(F.size("of.starts") < MANY * SLACK, F.struct(F.lit(False).alias("words"), F.expr(_every("of.text")).alias("set")))
+    out = out.select(*rest, F.explode(F.array(some, every)).alias("as")).where("as is not null").select(*rest, "as.words", "as.set")
+    ways = F.array(*[F.when((F.size("set") >= lo) & (F.size("set") < hi * SLACK), F.lit(m)) for lo, hi, m in REGIMES])
+    out = out.withColumn("m", F.explode(ways)).where("m is not null")
     again = F.flatten(F.transform(F.sequence(F.lit(1), F.col("m")), lambda j: F.transform("set", lambda h: F.xxhash64(h, j))))
     points = [(1 << 64) // BANDS * i - (1 << 62) * 2 + 1 for i in range(BANDS)]
     out = out.withColumn("set", F.when(F.col("m") == 1, F.col("set")).otherwise(again))
     out = out.withColumn("ring", F.sort_array(F.concat(F.array(*map(F.lit, points)), "set")))
     out = out.select("*", *[F.slice("ring", F.array_position("ring", F.lit(p)).cast("int"), ROWS + 1).alias(f"w{i}") for i, p in enumerate(points)])
     ends = [*points[1:], (1 << 63) - 1]
-    keys = [F.when(F.get(f"w{i}", F.lit(ROWS)) < end, F.xxhash64("m", f"w{i}")) for i, end in enumerate(ends)]
-    return out.withColumn("buckets", F.array_compact(F.array(*keys))).drop("set", "ring", *[f"w{i}" for i in range(BANDS)])
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The distinct pairs (a, b) whose lines have den * |intersection| >= num * |union|. Texts travel, sets are made where
-    they meet."""
-    side = lambda c: texts.select(F.col("line_id").alias(c), F.encode("line", "UTF-16BE").alias(f"{c}_b"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", F.explode(F.array(F.struct(F.expr(_every("a_b")).alias("a"), F.expr(_every("b_b")).alias("b")))).alias("s"))
-    counted = both.select("a", "b", (F.size("s.a") + F.size("s.b")).alias("n"), F.size(F.array_intersect("s.a", "s.b")).alias("common"))
-    return counted.where(F.col("common") * den >= (F.col("n") - F.col("common")) * num).select("a", "b")
+    keys = [F.when(F.get(f"w{i}", F.lit(ROWS)) < end, F.xxhash64("words", "m", f"w{i}")) for i, end in enumerate(ends)]
+    return out.select(*rest, F.array(*keys).alias("buckets"))
+
+
+def _stars(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): every line b that shares a bucket with others, and the bucket's leader a: of its lines that with the most
+    lines in all its buckets together, so that a template's lines all meet the template."""
+    found = signed.select("place", F.explode("buckets").alias("bucket")).where("bucket is not null")
+    held = scratch.cut(found.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"))
+    met = held.groupBy("place").agg(F.sum("n").alias("met"))
+    first = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("met"), "place"))
+    leads = held.join(met, "place").withColumn("k", first).where("k = 1").select("bucket", F.col("place").alias("a"))
+    stars = scratch.cut(held.join(leads, "bucket").where("a <> place").select("a", F.col("place").alias("b")).distinct())
+    scratch.drop(held)
+    return stars
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, n, a_n, apart): the distinct pairs with the sizes of the shingle sets of b and a, and the shingles that only
+    one of them has. Rows of one a are dealt over as many tasks as they need."""
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("shares"))
+    side = texts.select("place", F.encode("line", "UTF-16BE").alias("text"))
+    ones = side.join(shares, F.col("place") == F.col("a")).select("a", F.explode(F.sequence(F.lit(1), F.col("shares"))).alias("share"), F.col("text").alias("a_text"))
+    dealt = pairs.join(shares, "a").select("a", "b", (F.pmod(F.xxhash64("b"), "shares") + 1).cast("int").alias("share"))
+    both = dealt.join(side.select(F.col("place").alias("b"), F.col("text").alias("b_text")), "b").join(ones, ["a", "share"])
+    sets = both.select("a", "b", F.explode(F.array(F.struct(F.expr(_every("a_text")).alias("a"), F.expr(_every("b_text")).alias("b")))).alias("s"))
+    return sets.select("a", "b", F.size("s.b").alias("n"), F.size("s.a").alias("a_n"), F.concat(F.array_except("s.a", "s.b"), F.array_except("s.b", "s.a")).alias("apart"))
+
+
+def _linked(num: int, den: int):
+    """Sets of sizes n and a_n that are apart by so many have a similarity of num / den: in whole numbers."""
+    d = F.size("apart")
+    return (F.col("n") + F.col("a_n") - d) * den >= (F.col("n") + F.col("a_n") + d) * num
+
+
+def _across(stars: DataFrame, comp: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that may link, both around one leader t but in different components, at least one in another than t.
+
+    Sets o and x link if |o ^ x| <= T = (|o| + |x|) * (den - num) / (den + num). With O = o ^ t and X = x ^ t, both known,
+    o ^ x = O ^ X, so at least need = (|O| + |X| - T) / 2 elements are in O and X alike: positive, as o does not link with t.
+    In one order of the elements, rare ones around t first, the first shared one is then among the first |O| - need + 1
+    of O and as few of X. What is known of any partner bounds need from below, so that each set is indexed by a prefix."""
+    label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
+    placed = stars.join(label("b", "own"), "b", "left").join(label("a", "a_own"), "a", "left")
+    placed = placed.select("a", "b", "n", "a_n", "apart", F.coalesce("own", "b").alias("own"), (F.coalesce("own", "b") != F.coalesce("a_own", "a")).alias("out"))
+    mixed = placed.groupBy("a").agg(F.max("out").alias("any"), F.count("*").alias("rows")).where("any and rows > 1").select("a")
+    rows = scratch.cut(placed.join(mixed, "a"))
+    items = rows.select("a", "b", F.explode("apart").alias("e")).withColumn("times", F.count("*").over(Window.partitionBy("a", "e")))
+    inside = Window.partitionBy("a", "b")
+    shared = items.where("times > 1").withColumns({"k": F.row_number().over(inside.orderBy("times", "e")), "shared": F.count("*").over(inside)})
+    c, slack = (den - num) / (den + num), den / num
+    most = F.col("n") * (1 + slack) * c
+    least = F.greatest(F.col("d") - most, F.when(~F.col("out"), (F.col("n") / slack + F.col("a_n")) * c).otherwise(0.0))
+    sized = rows.withColumn("d", F.size("apart")).withColumn("prefix", F.floor((F.col("d") - least + most) / 2 + 1e-6) + 1).drop("apart")
+    posted = shared.join(sized, ["a", "b"]).withColumn("pos", F.col("d") - F.col("shared") + F.col("k") - 1).where("pos < prefix")
+    posted = scratch.cut(posted.select("a", "e", "b", "n", "d", "pos", "own", "out"))
+    one = posted.where("out").select("a", "e", *[F.col(x).alias(f"o_{x}") for x in ("b", "n", "d", "pos", "own")])
+    near = f"least(n, o_n) * {den} >= greatest(n, o_n) * {num} and 2 * {den + num} * least(d - pos, o_d - o_pos) >= (d + o_d) * {den + num} - (n + o_n) * {den - num}"
+    pairs = one.join(posted, ["a", "e"]).where(f"own <> o_own and (not out or o_b < b) and {near}")
+    pairs = scratch.cut(pairs.select(F.least("b", "o_b").alias("a"), F.greatest("b", "o_b").alias("b")).distinct())
+    scratch.drop(rows, posted)
+    return pairs
 
 
 def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num: int = 8, den: int = 10) -> DataFrame:
-    """(node, component) of the distinct lines that have a link, by 64-bit names. signed is deleted once it is read.
-
-    In each bucket every line is compared with the bucket's smallest, and in a second round those that fell in another
-    component than that one with all lines of other components: no group is expanded into all its pairs and no link
-    between candidates is lost."""
-    in_bucket = Window.partitionBy("bucket")
-    found = signed.select("line_id", "n", F.explode("buckets").alias("bucket"))
-    held = found.withColumns({"lead": F.min(F.struct("line_id", "n")).over(in_bucket), "last": F.max("line_id").over(in_bucket)}).where("last <> lead.line_id")
-    held = scratch.cut(held.select("bucket", "line_id", "n", F.col("lead.line_id").alias("lead"), F.col("lead.n").alias("lead_n")))
+    """(node, component) of the lines that have a link, by place."""
+    stars = _stars(signed, scratch)
     scratch.drop(signed)
-    near = lambda a, b: f"least({a}, {b}) * {den} >= greatest({a}, {b}) * {num}"  # noqa: E731  (sizes bound the similarity)
-    star = scratch.cut(held.where("line_id <> lead").where(near("n", "lead_n")).select(F.col("lead").alias("a"), F.col("line_id").alias("b")).distinct())
-    texts = lines.select(F.xxhash64("id").alias("line_id"), "line").join(held.select("line_id").distinct(), "line_id", "left_semi").dropDuplicates(["line_id"])
-    texts = scratch.cut(texts)
-    links = scratch.cut(_verified(star, texts, num, den))
+    texts = scratch.cut(lines.join(stars.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "place", "left_semi"))
+    stars = scratch.cut(_compared(stars, texts))
+    links = scratch.cut(stars.where(_linked(num, den)).select("a", "b"))
     comp = scratch.cut(components(links, scratch))
-    label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
-    placed = held.join(label("line_id", "own"), "line_id", "left").join(label("lead", "lead_own"), "lead", "left").withColumns({"own": F.coalesce("own", "line_id"), "lead_own": F.coalesce("lead_own", "lead")})
-    out = placed.where("own <> lead_own").select("bucket", F.col("line_id").alias("o"), F.col("n").alias("o_n"), F.col("own").alias("o_own"))
-    cross = out.join(placed, "bucket").where("o_own <> own and (own = lead_own or o < line_id)").where(near("n", "o_n"))
-    cross = cross.select(F.least("o", "line_id").alias("a"), F.greatest("o", "line_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    cross = scratch.cut(cross)
-    more = scratch.cut(_verified(cross, texts, num, den))
-    scratch.drop(held, star, cross, texts)
-    return scratch.cut(components(links.unionByName(more), scratch))
+    across = _across(stars, comp, scratch, num, den)
+    scratch.drop(stars)
+    more = scratch.cut(_compared(across, texts).where(_linked(num, den)).select("a", "b"))
+    joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    return scratch.cut(components(joined, scratch))
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: int = 8, den: int = 10) -> DataFrame:
     """docs with the text reduced to the lines that stay; columns and rows are as before."""
     scratch = Scratch(docs.sparkSession)
-    lines = split_lines(docs, key, text)
-    one = buckets(lines).groupBy("id", "m").agg(F.min(F.struct("doc", "page", "no")).alias("first"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    signed = scratch.cut(one.select("id", "first", "n", "buckets", F.xxhash64("id").alias("line_id")))
-    firsts = scratch.cut(signed.select("id", "first", F.col("line_id").alias("node")))
-    comp = line_components(signed, lines, scratch, num, den)
-    grouped = firsts.join(comp, "node", "left").groupBy(F.coalesce(F.hex("component"), F.hex("id")).alias("of")).agg(F.min("first").alias("first"))
-    stays = grouped.groupBy(F.col("first.doc").alias("__doc"), F.col("first.page").alias("__page")).agg(F.collect_list("first.no").alias("__stay"))
+    lines = scratch.cut(split_lines(docs, key, text).groupBy("line").agg(F.min("place").alias("place")))
+    comp = line_components(scratch.cut(buckets(lines)), lines, scratch, num, den)
+    gone = comp.where("component < node").select(F.col("node").alias("place"))
+    number = F.col("place") % F.lit(1 << 31).cast("decimal(10,0)")
+    left = lines.select("place").join(gone, "place", "left_anti").withColumn("no", number)
+    stays = left.groupBy((F.col("place") - F.col("no")).cast("decimal(38,0)").alias("__row")).agg(F.collect_list(F.col("no").cast("int")).alias("__stay"))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("__md5", F.unhex(F.md5(names[text])))
     k, t = names[key], names[text]
-    joined = plain.join(stays, F.col(k).eqNullSafe(F.col("__doc")) & (F.col("__md5") == F.col("__page")), "left")
-    ranked = joined.withColumn("__copy", F.row_number().over(Window.partitionBy(k, "__md5").orderBy(F.lit(1))))
+    plain = docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumn("__row", _row(k, t))
+    ranked = plain.join(stays, "__row", "left").withColumn("__copy", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(1))))
     ranked = ranked.withColumn("__parts", F.split(t, "\n", -1))
     blank = F.filter(F.sequence(F.lit(1), F.size("__parts")), lambda i: F.trim(F.element_at("__parts", i), F.lit(BLANKS)) == "")
     own = F.when((F.col("__copy") == 1) & F.col("__stay").isNotNull(), F.col("__stay")).otherwise(F.array().cast("array<int>"))
@@ -122,4 +183,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
     out = dedup_lines(docs)
-    return out.select("doc_id", "n_lines", F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_kept"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    n = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    return out.select("doc_id", "n_lines", n.alias("n_kept"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

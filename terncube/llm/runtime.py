@@ -29,13 +29,15 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/terncube/{uuid.uuid4().hex}"
         self.made: dict[int, str] = {}
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and return the table that was written: the lineage ends here."""
+    def cut(self, df: DataFrame, free: bool = True) -> DataFrame:
+        """Write df and return the table that was written: the lineage ends here. free: have the cleaner delete the shuffle
+        files that led to it; else they stay until the next such call."""
         path = f"{self.root}/{len(self.made)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        gc.collect()  # shuffle files go once the driver drops what led to the table
-        self.spark._jvm.System.gc()
+        if free:  # shuffle files go once the driver drops what led to the table
+            gc.collect()
+            self.spark._jvm.System.gc()
         self.made[id(out)] = path
         self._keep = [*getattr(self, "_keep", []), out]
         return out
@@ -71,7 +73,7 @@ def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 100) -> Dat
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.cut(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct())
+        new = scratch.cut(small.unionByName(roots.select("u", F.col("m").alias("v"))).distinct(), free=False)
         now = state(new)
         scratch.drop(e)
         e = new

@@ -218,6 +218,17 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_generates_columns():
+    rng = np.random.default_rng(3)
+    for n, most in ((40, 1023), (3000, 400), (200_000, 1023)):
+        histogram = Counter(int(v) for v in rng.integers(1, most + 1, n))
+        lengths = np.array(sorted(histogram))
+        demand = np.array([histogram[int(k)] for k in lengths])
+        found = packing.solve(lengths, demand, 1024)
+        assert found.generated > 0 and found.gap <= 1e-3
+        assert np.abs(found.columns.T @ found.uses - demand).max() < 1e-6 * demand.sum()
+
+
 def test_packing_pads_little():
     rng = np.random.default_rng(3)
     histogram = dict(Counter(int(v) for v in rng.integers(1, 1024, 20000)))
@@ -331,7 +342,7 @@ def line_recall(spark, lengths, n):
                     links[chars, kind].append((f"{chars} {seed} base", f"{chars} {seed} {kind}"))
     held = defaultdict(set)
     for r in lines.buckets(spark.createDataFrame(rows, "name string, line string").repartition(4)).select("name", "buckets").collect():
-        held[r["name"]].update(r["buckets"])
+        held[r["name"]].update(b for b in r["buckets"] if b is not None)
     return {of: (len(pairs), sum(bool(held[a] & held[b]) for a, b in pairs)) for of, pairs in links.items()}
 
 
@@ -419,22 +430,49 @@ def test_automaton_knows_all_substrings():
             s = step[s][c]
 
 
-def test_language_phrases_by_brute_force(spark):
-    text = sentence(60, 3)
-    df = spark.createDataFrame([(1, text, "aa"), (2, sentence(60, 4).replace("a", "q"), "bb")], "doc_id long, text string, lang string")
-    model = langid.fit(df)
-    probe = (sentence(30, 5) + " xyz").lower()
-    count, at = 1, 0
-    for i in range(len(probe)):
-        if i - at >= 0 and probe[at : i + 1] not in " " + text:
-            count, at = count + 1, i
-    got = langid.phrases([langid.encode(probe[: langid.WINDOW], model.lookup())], model)
-    count = 1
-    at = 0
-    known = langid.encode(" " + text, model.lookup()).tobytes()
-    coded = langid.encode(probe[: langid.WINDOW], model.lookup()).tobytes()
-    for i in range(len(coded)):
-        if coded[at : i + 1] not in known:
-            count += 1
-            at = i if coded[i : i + 1] in known else i + 1
-    assert abs(int(got[0, 0]) - count) <= 1
+def brute_language(learned, text):
+    """Language and score by greedy longest matches in the learned bytes, found by searching for them."""
+    low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    data, rates = low.encode(), {}
+    if not low.strip():
+        return "und", 0.0
+    for name, known in learned.items():
+        count = 0
+        for lo in range(0, len(data), langid.WINDOW):
+            match, count = b"", count + 1
+            for i in range(lo, min(lo + langid.WINDOW, len(data))):
+                one = data[i : i + 1]
+                if match + one in known:
+                    match += one
+                else:
+                    match, count = one if one in known else b"", count + 1
+        rates[name] = count / len(data)
+    best = sorted(rates, key=lambda n: (rates[n], n))[:2]
+    return best[0], rates[best[1]] / (rates[best[0]] + rates[best[1]])
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(12)
+    scripts = {"el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x59B8), "got": range(0x10330, 0x10349), "aa": range(97, 110), "bb": range(104, 122)}
+    write = lambda k, n: " ".join("".join(chr(rng.choice(scripts[k])) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    train = [(i * 10 + j, write(k, 40), k) for i, k in enumerate(scripts) for j in range(6)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    learned = defaultdict(list)
+    for _, text, lang in train:
+        learned[lang].append("".join(c if c.isalpha() else " " for c in text.lower()))
+    probes = [(1000 + i, write(k, n), k) for i, (k, n) in enumerate((k, n) for k in scripts for n in (1, 5, 120))] + [(2000, write("el", 4) + " 12 " + write("aa", 3), None), (2001, "?!", None), (2002, None, None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(probes, "doc_id long, text string, lang string"), model).collect()}
+    at = {r[0]: r[1] for r in spark.createDataFrame(train, "doc_id long, text string, lang string").select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))).collect()}
+    known = {k: b" ".join(t.encode() for _, t in sorted(zip([at[i] for i, _, lang in train if lang == k], v))) for k, v in learned.items()}
+    for i, text, lang in probes:
+        want = brute_language(known, text)
+        assert got[i][0] == want[0] and abs(got[i][1] - want[1]) < 1e-9
+        if i < 2000 and len(text) > 20:
+            assert got[i][0] == lang
+
+
+def test_language_learns_from_whole_texts(spark):
+    rows = [(1, "ab " * 20_000, "aa"), (2, "xy " * 50, "bb"), (3, "xz " * 50, "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=200)
+    assert model.languages == ["aa", "bb"]
+    assert len(model.tables[0]) // (int(model.codes[0].max()) + 2) <= 2 * 201
