@@ -15,6 +15,7 @@ import re
 import zlib
 from collections import ChainMap
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, chain, islice
 
 import numpy as np
@@ -104,8 +105,9 @@ def padded_length(total: int, size: int) -> int:
     return total if total & (total - 1) == 0 else size
 
 
-def _best_pattern(lengths: np.ndarray, value: np.ndarray, cost: np.ndarray, size: int) -> tuple[float, np.ndarray]:
-    """Knapsack by dynamic programming: the pattern with the largest value less cost, and that difference."""
+def _best_patterns(lengths: np.ndarray, value: np.ndarray, cost: np.ndarray, size: int, most: int = 64) -> np.ndarray:
+    """Knapsack by dynamic programming over totals: of the best pattern of every total and the best full pattern with each
+    length, up to most that are worth more than they cost, largest gain first."""
     best, last = np.full(size + 1, -np.inf), np.full(size + 1, -1, np.int64)
     best[0] = 0.0
     upto = np.searchsorted(lengths, np.arange(size + 1), side="right")
@@ -115,80 +117,125 @@ def _best_pattern(lengths: np.ndarray, value: np.ndarray, cost: np.ndarray, size
             tried = best[t - lengths[:m]] + value[:m]
             k = int(tried.argmax())
             best[t], last[t] = tried[k], k
-    t = int((best - cost)[1:].argmax()) + 1
-    gain, pattern = best[t] - cost[t], np.zeros(len(lengths), np.int64)
-    while t > 0 and last[t] >= 0:
-        pattern[last[t]] += 1
-        t -= int(lengths[last[t]])
-    return gain, pattern
+    gain = np.concatenate([best[1:] - cost[1:], value + best[size - lengths] - cost[size]])
+    worth = [i for i in np.argsort(-gain, kind="stable")[:most].tolist() if gain[i] > 1e-6]
+    found = np.zeros((len(worth), len(lengths)), np.int16)
+    for row, i in zip(found, worth, strict=True):
+        t = i + 1
+        if i >= size:
+            row[i - size] += 1
+            t = size - int(lengths[i - size])
+        while t > 0:
+            row[last[t]] += 1
+            t -= int(lengths[last[t]])
+    return np.unique(found, axis=0)
 
 
 def _fill(lengths: np.ndarray, copies: np.ndarray, size: int) -> np.ndarray:
-    """The longest available length and, of the others, the longest possible sum beside it (subset sums as bit sets)."""
+    """The longest available length and, of the others, the longest possible sum beside it (subset sums as bit sets, equal
+    lengths in chunks of 1, 2, 4, ...)."""
     top = int(np.flatnonzero(copies)[-1])
     pattern = np.zeros(len(lengths), np.int64)
     pattern[top], room = 1, size - int(lengths[top])
-    items = [(int(k), int(lengths[k])) for k in np.flatnonzero(copies[: top + 1]) for _ in range(min(int(copies[k]) - (k == top), room // int(lengths[k])))]
+    items = []
+    for k in np.flatnonzero(copies[: top + 1]).tolist():
+        left, chunk = min(int(copies[k]) - (k == top), room // int(lengths[k])), 1
+        while left > 0:
+            items.append((k, min(chunk, left)))
+            left, chunk = left - chunk, 2 * chunk
     reach, mask = [1], (1 << (room + 1)) - 1
-    for _, length in items:
-        reach.append((reach[-1] | reach[-1] << length) & mask)
+    for k, n in items:
+        reach.append((reach[-1] | reach[-1] << n * int(lengths[k])) & mask)
     total = reach[-1].bit_length() - 1
-    for (k, length), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
-        if total >= length and before >> (total - length) & 1:
-            pattern[k] += 1
-            total -= length
+    for (k, n), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
+        long = n * int(lengths[k])
+        if not before >> total & 1:
+            pattern[k] += n
+            total -= long
     return pattern
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-3, rounds: int = 400) -> tuple[list[np.ndarray], np.ndarray]:
-    """The linear program by column generation and the revised simplex method: patterns and their (fractional) uses.
-
-    The first basis comes from filling patterns from the longest length on, each used until one of its lengths is used
-    up: that length is in no later pattern, so the basis is triangular. Stops once the Lagrangian bound, or that of no
-    padding at all, shows the optimum to be within gap, or after rounds columns: any basis is feasible."""
-    m = len(lengths)
-    cost = np.array([np.inf, *[padded_length(t, size) for t in range(1, size + 1)]], float)
-    d = demand.astype(float)
-    columns: list[np.ndarray] = []
-    rest, ended = d.copy(), np.zeros(m, bool)
+def _filled(lengths: np.ndarray, demand: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns filled from the longest length on, each used until one of its lengths is used up, and the index of that
+    length, which is in no later pattern."""
+    rest, out = demand.astype(float), []
     while (rest > 1e-9).any():
         pattern = _fill(lengths, np.where(rest > 1e-9, np.maximum(rest, 1), 0).astype(np.int64), size)
         on = np.flatnonzero(pattern)
         ratio = rest[on] / pattern[on]
         rest = np.maximum(rest - ratio.min() * pattern, 0)
         rest[on[int(ratio.argmin())]] = 0
-        ended[on[int(ratio.argmin())]] = True
-        columns.append(pattern)
-    columns += list(np.eye(m, dtype=np.int64)[~ended])  # lengths that ended together with another one
-    price = np.array([cost[int(c @ lengths)] for c in columns])
-    inverse = np.linalg.inv(np.array(columns).T.astype(float))
-    x = np.maximum(inverse @ d, 0)
+        out.append((pattern, int(on[int(ratio.argmin())])))
+    return out
+
+
+@dataclass
+class Solution:
+    """Patterns, their fractional uses, the columns that pricing made, and the gap that the bound proves."""
+
+    columns: np.ndarray
+    uses: np.ndarray
+    generated: int
+    gap: float
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, size: int, gap: float = 1e-4, rounds: int = 4000, pool: int = 3000, inner: float = 0.9) -> Solution:
+    """The linear program by column generation and the revised simplex method.
+
+    The first basis is as many copies of each length as fit a sequence; patterns of a greedy filling take their places, one
+    after the other. Then the best priced pattern of a pool enters, and where none there gains any more the knapsack makes
+    new ones, at least once, so that it is the prices that say how good the result is. It prices between the present duals
+    and the best feasible ones known, at first the lengths themselves, as no pattern holds more tokens than it costs: a
+    pattern that gains there gains at the present duals too, and if none does those are feasible and bound the optimum.
+    Stops once the bound is within gap, or after rounds columns: any basis is feasible.
+
+    The products are einsum's, not those of the linear algebra library: its threads can hang in a process that has forked."""
+    m = len(lengths)
+    cost = np.array([np.inf, *[padded_length(t, size) for t in range(1, size + 1)]], float)
+    d = demand.astype(float)
+    copies = size // lengths
+    columns, price = np.diag(copies).astype(np.int16), cost[copies * lengths]
+    inverse = np.diag(1.0 / copies)
+
+    def enter(r: int, w: np.ndarray, column: np.ndarray) -> None:
+        row, some = inverse[r] / w[r], np.flatnonzero(w)
+        inverse[some] -= w[some, None] * row
+        inverse[r], columns[r], price[r] = row, column, cost[int((column * lengths).sum())]
+
+    for pattern, ended in _filled(lengths, demand, size):
+        enter(ended, pattern / copies, pattern)  # it has none of the lengths that ended before: their places have no part in it
+    x = np.maximum(np.einsum("ij,j->i", inverse, d), 0)
+    known, known_cost = np.zeros((0, m)), np.zeros(0)
+    feasible, generated, priced = lengths.astype(float), 0, False
     for _ in range(rounds):
-        if price @ x <= (1 + gap) * (lengths @ d):
+        if priced and float((price * x).sum()) <= (1 + gap) * float((feasible * d).sum()):
             break
-        dual = price @ inverse
-        low = int(dual.argmin())
-        if dual[low] < -1e-9:  # more of a length than there is: a surplus column
-            column, c = -np.eye(m, dtype=np.int64)[low], 0.0
-        else:
-            gain, column = _best_pattern(lengths, dual, cost, size)
-            if gain <= 1e-7 or 1 - 1 / (1 + gain / size) <= gap:
-                break
-            c = cost[int(column @ lengths)]
-        w = inverse @ column
+        dual = np.einsum("i,ij->j", price, inverse)
+        gains = np.einsum("ij,j->i", known, dual) - known_cost
+        while not len(gains) or gains.max() <= 1e-6:
+            priced, between = True, inner * feasible + (1 - inner) * dual
+            found = _best_patterns(lengths, between, cost, size)
+            if len(found):
+                generated += len(found)
+                known = np.concatenate([found, known[: pool - len(found)]])
+                known_cost = cost[np.einsum("ij,j->i", known, lengths).astype(np.int64)]
+                gains = np.einsum("ij,j->i", known, dual) - known_cost
+            elif float((price * x).sum()) <= (1 + gap) * float((between * d).sum()) or np.abs(between - dual).max() <= 1e-7 * size:
+                return Solution(columns.astype(np.int64), x, generated, float((price * x).sum() / (between * d).sum()) - 1)
+            else:
+                feasible = between
+        enters = int(gains.argmax())
+        column = known[enters]
+        w = np.einsum("ij,j->i", inverse, column)
         up = w > 1e-9
         if not up.any():
             break
-        ratio = np.where(up, x / np.where(up, w, 1), np.inf)
-        r = int(ratio.argmin())
-        step = ratio[r]
-        x = np.maximum(x - step * w, 0)
-        x[r] = step
-        row = inverse[r] / w[r]
-        inverse -= np.outer(w, row)
-        inverse[r] = row
-        columns[r], price[r] = column, c
-    return columns, x
+        steps = np.where(up, x / np.where(up, w, 1), np.inf)
+        r = int(steps.argmin())
+        x = np.maximum(x - steps[r] * w, 0)
+        x[r] = steps[r]
+        enter(r, w, column)
+    return Solution(columns.astype(np.int64), x, generated, float((price * x).sum() / (feasible * d).sum()) - 1)
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
@@ -207,10 +254,9 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[dict[int, int],
             rest[on] -= n * pattern[on]
             out.append(({int(a): int(b) for a, b in zip(lengths[on], pattern[on], strict=True)}, n))
 
-    columns, x = solve(lengths, rest.copy(), size)
-    for k in np.argsort(-x, kind="stable"):
-        if (columns[k] > 0).any() and (columns[k] >= 0).all():
-            use(columns[k], int(x[k] + 1e-6))
+    found = solve(lengths, rest.copy(), size)
+    for k in np.argsort(-found.uses, kind="stable"):
+        use(found.columns[k], int(found.uses[k] + 1e-6))
     while rest.any():
         use(_fill(lengths, rest, size), int(rest.max()))
     return out
