@@ -93,28 +93,30 @@ def _describe(rows: DataFrame, m: Measure) -> DataFrame:
     return rows.select("key", "text", "digest").mapInArrow(run, schema)
 
 
-def _frequent(counts: DataFrame, least: int) -> np.ndarray:
-    """Counts by hash range, 0 where under least. The sum of all counts over least bounds how many are kept."""
+def _levels(counts: DataFrame) -> np.ndarray:
+    """For each hash range how many shingles it has, on a scale of eighths of a doubling (0: none): one byte a range, so
+    2^COUNT_BITS bytes reach the driver, whatever the corpus."""
+    size = (1 << COUNT_BITS) // COUNT_PARTS
 
     def add(key, frame):
-        total = np.zeros((1 << COUNT_BITS) // COUNT_PARTS, np.int64)
+        total = np.zeros(size, np.int64)
         for blob in frame["counts"]:
             total += np.frombuffer(zlib.decompress(blob), "<u4")
-        at = np.flatnonzero(total >= least)
-        return pd.DataFrame({"at": at + int(key[0]) * len(total), "n": total[at]})
+        level = np.where(total > 0, 1 + np.floor(8 * np.log2(np.maximum(total, 1))), 0)
+        return pd.DataFrame({"part": [int(key[0])], "levels": [zlib.compress(np.minimum(level, 255).astype(np.uint8).tobytes(), 1)]})
 
-    found = counts.groupBy("part").applyInPandas(add, "at long, n long").toPandas()
-    out = np.zeros(1 << COUNT_BITS, np.uint16)
-    out[found["at"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), 2**16 - 1)
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    for r in counts.groupBy("part").applyInPandas(add, "part int, levels binary").toLocalIterator():
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return out
 
 
-def _postings(rows: DataFrame, m: Measure, frequent) -> DataFrame:
+def _postings(rows: DataFrame, m: Measure, levels) -> DataFrame:
     """(shingle, sid, n, pos) of every prefix; a task names an equal set once while it remembers it."""
     names = ["shingle", "sid", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, seen, order = frequent.value, set(), deque()
+        often, seen, order = levels.value, set(), deque()
         for _, raw in _texts(batches, "text"):
             out, sids, sizes, lengths = [], [], [], []
             for s in shingle_sets(raw, m.k):
@@ -125,9 +127,8 @@ def _postings(rows: DataFrame, m: Measure, frequent) -> DataFrame:
                 order.append(sid)
                 if len(order) > 200_000:
                     seen.discard(order.popleft())
-                count, p = often[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], m.prefix(len(s))
-                first = s[count == 0][:p] if (count[:p] == 0).all() or (count == 0).sum() >= p else s[np.argsort(count, kind="stable")[:p]]
-                out.append(first)
+                p = m.prefix(len(s))
+                out.append(s[np.argsort(often[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")[:p]])
                 sids.append(sid)
                 sizes.append(len(s))
                 lengths.append(p)
@@ -223,45 +224,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, m: Measure) -
     return whole.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, measure: Measure = Measure(), key: str = "doc_id", text: str = "text", least: int = 32, frequent_share: int = 4000) -> DataFrame:
-    """(key, n_shingles, component): a row per row of docs; component is the smallest key in its component of links.
+def jaccard_components(docs: DataFrame, measure: Measure = Measure(), key: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """(key, n_shingles, component): a row per row of docs; component is the smallest key in its component of links. sets:
+    also digest, the MD5 of the text, and link_set, a name of the component that is null only where there are no shingles.
 
-    A hash range of shingles is frequent if its count is at least least and a frequent_share-th of the rows; frequent
-    ranges are ordered by count after all others. As counts sum up to rows times the mean set size, there are at most
-    frequent_share times that mean of them, whatever the corpus: this alone is broadcast."""
+    Shingles are ordered by the count of their hash range, to an eighth of a doubling, then by hash: what a group of copies
+    or a template repeats comes after what a text has for itself. The 2^COUNT_BITS counts alone are broadcast."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
     told = scratch.cut(_describe(rows, measure))
     members = told.where("part is null").select("key", "digest", "sid", "n")
-    sets = scratch.cut(told.where("part is null and n > 0").groupBy("sid").agg(F.min(F.struct("digest", "n", "bins")).alias("x"), F.min("key").alias("first")).select("sid", "x.*", "first"))
-    size = members.count()
-    frequent = spark.sparkContext.broadcast(_frequent(told.where("part is not null").select("part", "counts"), max(least, size // frequent_share)))
-    shared = scratch.cut(_shared(_postings(rows, measure, frequent)))
+    known = scratch.cut(told.where("part is null and n > 0").groupBy("sid").agg(F.min(F.struct("digest", "n", "bins")).alias("x"), F.min("key").alias("first")).select("sid", "x.*", "first"))
+    levels = spark.sparkContext.broadcast(_levels(told.where("part is not null").select("part", "counts")))
+    shared = scratch.cut(_shared(_postings(rows, measure, levels)))
     texts = rows.select("digest", "text")
     star = shared.where("sid <> lead").where(_may_link(measure, "", "lead_")).select(F.col("lead").alias("a"), F.col("sid").alias("b"))
-    wanted = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(sets, "sid").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    wanted = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(known, "sid").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     star = scratch.cut(star.distinct())
-    links = scratch.cut(_verified(star, sets, wanted(star), measure))
+    links = scratch.cut(_verified(star, known, wanted(star), measure))
     comp = scratch.cut(components(links, scratch))
     label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
     placed = shared.join(label("sid", "own"), "sid", "left").join(label("lead", "lead_own"), "lead", "left").withColumns({"own": F.coalesce("own", "sid"), "lead_own": F.coalesce("lead_own", "lead")})
-    spread = sets.select("sid", "bins")
+    spread = known.select("sid", "bins")
     out_rows = placed.where("own <> lead_own").join(spread, "sid").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("sid", "n", "pos", "own", "bins")])
     met = placed.join(placed.where("own <> lead_own").select("shingle").distinct(), "shingle", "left_semi").join(spread, "sid")
     all_rows = met.select("shingle", *[F.col(c).alias(f"m_{c}") for c in ("sid", "n", "pos", "own", "lead_own", "bins")])
     near = f"{_may_link(measure, 'o_', 'm_')} and {_may_overlap(measure, 'o_', 'm_')}"
     cross = out_rows.join(all_rows, "shingle").where("o_own <> m_own and (m_own = m_lead_own or o_sid < m_sid)").where(near)
     cross = scratch.cut(cross.select(F.least("o_sid", "m_sid").alias("a"), F.greatest("o_sid", "m_sid").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti"))
-    more = scratch.cut(_verified(cross, sets, wanted(cross), measure))
+    more = scratch.cut(_verified(cross, known, wanted(cross), measure))
     final = scratch.cut(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")), scratch))
-    by_set = sets.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    by_set = known.join(final.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = by_set.groupBy("component").agg(F.min("first").alias("smallest"))
-    named = by_set.join(smallest, "component").select("sid", "smallest")
+    named = by_set.join(smallest, "component").select("sid", "smallest", F.col("component").alias("link_set"))
     out = members.join(named, "sid", "left")
     own = F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("smallest"))
     scratch.drop(shared, links, star, cross, more)
-    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), own.alias("component"))
+    return out.select(F.col("key").alias(key), F.col("n").cast("long").alias("n_shingles"), own.alias("component"), *(["digest", "link_set"] if sets else []))
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
