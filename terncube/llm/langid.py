@@ -11,9 +11,9 @@ ties go to the smaller language name; equal texts get equal results; columns oth
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,31 +21,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 256
-OTHER, BLANK, FIRST = 0, 1, 2
 MISS = np.int32(1 << 30)
 STATE = np.int32((1 << 30) - 1)
+#: Codes of bytes: those that a language's texts do not have, then those that they have, then what follows a text's end.
+OTHER, FIRST = 0, 1
 
 
 @dataclass
 class Model:
-    """languages in order; alphabet: its characters have the codes from FIRST on; tables: by language, for state * width
-    + code the next state * width, with MISS set if a new phrase begins there."""
+    """languages in order, and for each: codes, the code of every byte; tables, for state * width + code the next state *
+    width, with MISS set if a new phrase begins there."""
 
     languages: list[str]
-    alphabet: str
+    codes: list[np.ndarray]
     tables: list[np.ndarray]
 
-    @property
-    def width(self) -> int:
-        return len(self.alphabet) + FIRST + 1
-
-    def lookup(self) -> np.ndarray:
-        """Codes of the first 65536 code points: letters of the alphabet, other letters, anything else a blank."""
-        codes = np.array([OTHER if chr(c).isalpha() else BLANK for c in range(1 << 16)], np.uint8)
-        for i, c in enumerate(self.alphabet):
-            codes[ord(c)] = FIRST + i
-        return codes
-
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of a sequence; state 0 is its start."""
@@ -87,58 +77,66 @@ def _table(step: list[dict[int, int]], width: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = 200, chars: int = 30_000, total_chars: int = 3_000_000) -> Model:
-    """Learn from labelled rows (text and lang not null). For each language at most rows rows, those with the smallest
-    hashes of their key, and of them at most chars characters (less if there are more than total_chars / chars languages).
-    Only counts by language and that sample reach the driver."""
+@cache
+def _letters() -> np.ndarray:
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def encode(text: str) -> np.ndarray:
+    """The text in lower case as UTF-8 bytes, everything but letters a blank: any script, with at most 256 symbols."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.frombuffer(np.where(_letters()[points], points, 32).astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = 200, chars: int = 30_000) -> Model:
+    """Learn from labelled rows (text and lang not null). For each language at most rows rows in the order of their keys'
+    hashes, whole texts, as long as they have chars characters together; a language whose texts are all longer learns from
+    the first chars characters of one. Only counts by language and that sample reach the driver: rows and chars bound what
+    a language takes there and in every worker."""
     pool = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and key is not null")
     counts = {r["lang"]: r["n"] for r in pool.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model([], "", [])
+        return Model([], [], [])
     at = (F.xxhash64(F.col("key").cast("string"), F.lit("sample")).cast("double") / float(1 << 63) + 1) / 2
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, 3.0 * rows / n)]), F.col("lang"))
-    near = pool.withColumn("at", at).where(F.col("at") < share)
-    order = Window.partitionBy("lang").orderBy("at", "key", "text")
-    picked = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows).select("lang", "k", "text").collect()
-    most = max(1000, min(chars, total_chars // len(counts)))
-    texts: dict[str, str] = {}
+    near = pool.withColumn("at", at).where(F.col("at") < share).select("lang", "at", "key", F.length("text").alias("n"), F.left("text", F.lit(chars)).alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.col("n") > chars, "at", "key", "text")
+    ranked = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows)
+    total = F.sum("n").over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    picked = ranked.withColumn("total", total).where(f"k = 1 or total <= {chars}").select("lang", "k", "text").collect()
+    texts: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["k"])):
-        if len(texts.setdefault(r["lang"], "")) < most:
-            texts[r["lang"]] = (texts[r["lang"]] + " " + r["text"].lower())[:most]
-    seen = Counter(c for t in texts.values() for c in t if c.isalpha() and ord(c) < 1 << 16)
-    model = Model(sorted(texts), "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:60])), [])
-    lookup = model.lookup()
+        texts.setdefault(r["lang"], []).append(r["text"])
+    model = Model(sorted(texts), [], [])
     for name in model.languages:
-        model.tables.append(_table(automaton(encode(texts[name], lookup).tolist()), model.width))
+        learned = encode(" ".join(texts[name]))
+        seen = np.unique(learned)
+        codes = np.full(256, OTHER, np.uint8)
+        codes[seen] = FIRST + np.arange(len(seen))
+        model.codes.append(codes)
+        model.tables.append(_table(automaton(codes[learned].tolist()), FIRST + len(seen) + 1))
     return model
 
 
-def encode(text: str, lookup: np.ndarray) -> np.ndarray:
-    """Codes of a text, lower-cased."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = lookup[np.minimum(points, 0xFFFF)]
-    if len(points) and points.max() > 0xFFFF:
-        wide = points > 0xFFFF
-        codes[wide] = [OTHER if chr(c).isalpha() else BLANK for c in points[wide]]
-    return codes
-
-
 def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
-    """Phrases of each coded text (rows) by language (columns)."""
+    """Phrases of each encoded text (rows) by language (columns)."""
     n = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
     out = np.zeros((len(texts), len(model.languages)), np.int64)
     if not n.sum():
         return out
-    flat = np.full(int(n.sum()) * WINDOW, model.width - 1, np.uint8)
+    flat, past = np.zeros(int(n.sum()) * WINDOW, np.uint8), np.ones(int(n.sum()) * WINDOW, bool)
     for t, at in zip(texts, np.concatenate([[0], np.cumsum(n)[:-1]]) * WINDOW, strict=True):
         flat[at : at + len(t)] = t
-    lanes = flat.reshape(-1, WINDOW)
+        past[at : at + len(t)] = False
+    lanes, past = flat.reshape(-1, WINDOW), past.reshape(-1, WINDOW)
     owner = np.repeat(np.arange(len(texts)), n)
     for lo in range(0, len(lanes), 1 << 14):
-        columns = np.ascontiguousarray(lanes[lo : lo + (1 << 14)].T)
-        for k, table in enumerate(model.tables):
+        columns, ended = (np.ascontiguousarray(x[lo : lo + (1 << 14)].T) for x in (lanes, past))
+        for k, (codes, table) in enumerate(zip(model.codes, model.tables, strict=True)):
+            coded = codes[columns]
+            coded[ended] = int(codes.max()) + 1
             state, count = np.zeros(columns.shape[1], np.int32), np.ones(columns.shape[1], np.int32)
-            for c in columns:
+            for c in coded:
                 state += c
                 state = table.take(state)
                 count += state >> 30
@@ -148,8 +146,8 @@ def phrases(texts: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", rate: str | None = None) -> DataFrame:
-    """docs with lang and score added (and the phrases a character, if rate names a column). The score is the share
-    r2 / (r1 + r2) of the best and the second best language's phrases a character; 1 where one language was learned."""
+    """docs with lang and score added (and the phrases a byte, if rate names a column). The score is the share
+    r2 / (r1 + r2) of the best and the second best language's phrases a byte; 1 where one language was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     added = [(lang, pa.string(), "string"), (score, pa.float64(), "double"), *([(rate, pa.float64(), "double")] if rate else [])]
@@ -157,17 +155,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        lookup = model.lookup()
         for whole in batches:
             lo = 0
             while lo < whole.num_rows:
                 codes, size, hi = [], 0, lo
                 while hi < whole.num_rows and size < 1 << 22:
                     t = whole.column(at)[hi].as_py()
-                    codes.append(encode(t or "", lookup))
+                    codes.append(encode(t or ""))
                     size, hi = size + len(codes[-1]), hi + 1
                 found = phrases(codes, model) / np.maximum([len(c) for c in codes], 1)[:, None]
-                known = np.array([bool((c != BLANK).any()) for c in codes]) & bool(model.languages)
+                known = np.array([bool((c != 32).any()) for c in codes]) & bool(model.languages)
                 names, marks, rates = [], [], []
                 for ok, row in zip(known, found, strict=True):
                     best = np.argsort(row, kind="stable")[:2] if ok else []
