@@ -82,6 +82,14 @@ def fit_ridge(x: np.ndarray, y: np.ndarray, seed: int = 42, folds: int = 10, lam
     return {"family": "ridge", "b": np.array([b[0] - (w * mean).sum(), *w]), "lambda": lam}
 
 
+def fit_logistic(x: np.ndarray, y: np.ndarray, seed: int = 0) -> dict:
+    """Plain logistic regression; constant columns have no weight."""
+    mean, sd = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1)
+    b, _ = newton(np.column_stack([np.ones(len(x)), (x - mean) / sd]), y, np.array([0.0, *[1e-9] * x.shape[1]]))
+    w = b[1:] / sd
+    return {"family": "ridge", "b": np.array([b[0] - (w * mean).sum(), *w]), "lambda": 0.0}
+
+
 def _grow(x: np.ndarray, codes: np.ndarray, edges: list[np.ndarray], target: np.ndarray, weight: np.ndarray, depth: int, least: int, pick) -> tuple:
     """A regression tree on binned columns: (column, cut, left, right) or a leaf value sum(target) / sum(weight)."""
     leaf = float(target.sum() / max(weight.sum(), 1e-12))
@@ -236,7 +244,7 @@ def fit_gam(x: np.ndarray, y: np.ndarray, seed: int = 0) -> dict:
     return {"family": "gam", "mean": mean, "sd": sd, "columns": [], "knots": [], "b": np.array([np.log(m / (1 - m))])}
 
 
-FITTERS = {"glm": fit_glm, "ridge": fit_ridge, "brt": fit_brt, "brt_search": search_brt, "rf": fit_rf, "nn": fit_nn, "gam": fit_gam}
+FITTERS = {"logistic": fit_logistic, "glm": fit_glm, "ridge": fit_ridge, "brt": fit_brt, "brt_search": search_brt, "rf": fit_rf, "nn": fit_nn, "gam": fit_gam}
 
 
 def predict(model: dict, x: np.ndarray) -> np.ndarray:

@@ -88,22 +88,32 @@ def inside(cells: DataFrame, area: DataFrame) -> DataFrame:
     return cells.join(area.select("cell_id"), "cell_id", "left_semi")
 
 
-def nearest_record(queries: DataFrame, records: DataFrame, size: float) -> DataFrame:
-    """(id, ref_id, d2): each query's nearest record by squared planar distance, ties to the smaller id, exactly.
-
-    Records are bucketed in squares of the given size; a ring of squares around each query's own is searched and widened
-    until the nearest found is nearer than anything outside can be. Work follows the records near a query; what is left
-    after each ring is a smaller table."""
-    at = lambda df: df.withColumns({"bx": F.floor(F.col("x") / size).cast("long"), "by": F.floor(F.col("y") / size).cast("long")})
-    refs = at(records).select(F.col("id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry"), "bx", "by")
-    open_queries, done = at(queries).select("id", "x", "y", "bx", "by"), None
-    d2 = lambda: (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
-    for reach in (1, 4):
-        step = F.sequence(F.lit(-reach), F.lit(reach))
-        ring = open_queries.select("id", "x", "y", "bx", "by").withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumns({"bx": F.col("bx") + F.col("dx"), "by": F.col("by") + F.col("dy")})
-        best = ring.join(refs, ["bx", "by"]).groupBy("id").agg(F.min(F.struct(d2().alias("d2"), "ref_id")).alias("b"))
-        known = best.where(F.col("b.d2") <= (reach * size) ** 2).select("id", "b.ref_id", "b.d2")
+def nearest_record(queries: DataFrame, records: DataFrame, size: float, rings: int = 12) -> DataFrame:
+    """(id, ref_id, d2): each query's nearest record by squared planar distance, ties to the smaller id, exactly. Records
+    without a coordinate are none; a query without one has a null record, as has every query where there are no records.
+
+    Records are bucketed in squares of the given size, and of twice, four times, ... that size: at each step the squares
+    around a query's own are searched, and what is found no farther than a square's side is nearest. Work follows the
+    records near a query; each step takes what the one before left open. Past the last the squares hold everything."""
+    whole = lambda df: df.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    refs = whole(records).select(F.col("id").alias("ref_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    every = queries.select("id", "x", "y")
+    left, done = whole(every), None
+    d2 = (F.col("x") - F.col("rx")) * (F.col("x") - F.col("rx")) + (F.col("y") - F.col("ry")) * (F.col("y") - F.col("ry"))
+    step = F.sequence(F.lit(-1), F.lit(1))
+    for k in range(rings):
+        side = size * 4**k
+        square = lambda a, b, side=side: (F.floor(F.col(a) / side).cast("long"), F.floor(F.col(b) / side).cast("long"))
+        bx, by = square("x", "y")
+        ring = left.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumns({"bx": bx + F.col("dx"), "by": by + F.col("dy")})
+        rx, ry = square("rx", "ry")
+        best = ring.join(refs.withColumns({"bx": rx, "by": ry}), ["bx", "by"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "ref_id")).alias("b"))
+        known = best.where(F.col("b.d2") <= side**2).select("id", "b.ref_id", "b.d2")
         done = known if done is None else done.unionByName(known)
-        open_queries = open_queries.join(known.select("id"), "id", "left_anti")
-    far = open_queries.join(refs.drop("bx", "by"), F.lit(True)).groupBy("id").agg(F.min(F.struct(d2().alias("d2"), "ref_id")).alias("b"))
-    return done.unionByName(far.select("id", "b.ref_id", "b.d2"))
+        left = left.join(known.select("id"), "id", "left_anti")
+        if left.isEmpty():
+            break
+    else:
+        far = left.join(refs, F.lit(True)).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "ref_id")).alias("b"))
+        done = done.unionByName(far.select("id", "b.ref_id", "b.d2"))
+    return every.select("id").join(done, "id", "left")

@@ -45,12 +45,12 @@ def year_map(cube: DataFrame) -> DataFrame:
     return enough(boot(cube), ["species", "year", "cell_id"], summary("prob"))
 
 
-def change_map(cube: DataFrame, current: int, reference: int, keys: Sequence[str] = ("species", "cell_id")) -> DataFrame:
+def change_map(cube: DataFrame, current: int, reference: int, keys: Sequence[str] = ("species", "cell_id"), value: str = "prob") -> DataFrame:
     """current - reference on the cells and replicates that both years have. One pass: no self-join."""
     two = boot(cube).where(F.col("year").isin(current, reference))
-    value = lambda y: F.max(F.when(F.col("year") == y, F.struct("prob")))
-    pairs = two.groupBy(*keys, "replicate").agg(value(current).alias("c"), value(reference).alias("r")).where("c is not null and r is not null")
-    return enough(pairs.withColumn("d", F.col("c.prob") - F.col("r.prob")), keys, change("d"))
+    of = lambda y: F.max(F.when(F.col("year") == y, F.struct(F.col(value).alias("v"))))
+    pairs = two.groupBy(*keys, "replicate").agg(of(current).alias("c"), of(reference).alias("r")).where("c is not null and r is not null")
+    return enough(pairs.withColumn("d", F.col("c.v") - F.col("r.v")), keys, change("d"))
 
 
 def trend_map(cube: DataFrame, keys: Sequence[str] = ("species", "cell_id"), least_years: int = 5) -> DataFrame:
@@ -106,8 +106,15 @@ def paired(cube: DataFrame, current: int, reference: int) -> DataFrame:
     return two.groupBy("species", "cell_id", "replicate").agg(value(current).alias("p1"), value(reference).alias("p0")).where("p1 is not null and p0 is not null")
 
 
+def common_replicates(pairs: DataFrame) -> DataFrame:
+    """Pairs of replicates that every species has: a sum over species always holds the same community."""
+    n = pairs.agg(F.count_distinct("species").alias("k"))
+    ids = pairs.select("species", "replicate").distinct().groupBy("replicate").agg(F.count("*").alias("k")).join(n, "k").select("replicate")
+    return pairs.join(ids, "replicate", "left_semi")
+
+
 def mean_delta(cube: DataFrame, current: int, reference: int) -> DataFrame:
-    by = paired(boot(cube), current, reference).groupBy("cell_id", "replicate").agg(F.avg(F.col("p1") - F.col("p0")).alias("d"))
+    by = common_replicates(paired(boot(cube), current, reference)).groupBy("cell_id", "replicate").agg(F.avg(F.col("p1") - F.col("p0")).alias("d"))
     return enough(by, ["cell_id"], change("d"))
 
 
@@ -116,7 +123,7 @@ def bray_curtis(p1: str = "p1", p0: str = "p0") -> Column:
 
 
 def turnover(cube: DataFrame, current: int, reference: int) -> DataFrame:
-    by = paired(boot(cube), current, reference).groupBy("cell_id", "replicate").agg(bray_curtis().alias("bc"))
+    by = common_replicates(paired(boot(cube), current, reference)).groupBy("cell_id", "replicate").agg(bray_curtis().alias("bc"))
     return enough(by, ["cell_id"], summary("bc"))
 
 
@@ -163,6 +170,15 @@ def msi_index(index: DataFrame) -> DataFrame:
     return mean.select("year", at(0).alias("est"), at(-1.6448536269514722).alias("lwr"), at(1.6448536269514722).alias("upr"))
 
 
+def analytical_index(index: DataFrame) -> DataFrame:
+    """Geometric mean of the species' mean indices; its standard error by the delta method from the species' spread over
+    replicates."""
+    by = boot(index).groupBy("species", "year").agg(F.avg("index").alias("m"), F.stddev_samp("index").alias("sd")).where("m > 0")
+    mean = by.groupBy("year").agg(F.exp(F.avg(F.ln("m"))).alias("est"), (F.sqrt(F.sum((F.col("sd") / F.col("m")) ** 2)) / F.count("*")).alias("se"))
+    at = lambda k: F.col("est") * F.exp(k * F.col("se"))
+    return mean.select("year", at(0.0).alias("est"), at(-1.6448536269514722).alias("lwr"), at(1.6448536269514722).alias("upr"))
+
+
 def regional_index(regional: DataFrame, baseline: int, least: float = 1e-6) -> DataFrame:
     """Geometric mean over species in each coarse cell; a species is left out where its baseline mean is under least."""
     base = regional.where((F.col("year") == baseline) & (F.col("mean") >= least)).select("species", "row", "col", "replicate", F.col("mean").alias("base"))
@@ -170,6 +186,49 @@ def regional_index(regional: DataFrame, baseline: int, least: float = 1e-6) -> D
     return both.groupBy("row", "col", "year", "replicate").agg((100 * F.exp(F.avg(F.ln(F.col("mean") / F.col("base"))))).alias("index"), F.count("*").alias("n_species"))
 
 
+def complete_runs(cube: DataFrame, bands: int) -> DataFrame:
+    """Rows of runs (species, run) that have all bands: one that lacks a band is skipped whole."""
+    whole = cube.groupBy("species", "run").agg(F.count_distinct("band").alias("n")).where(F.col("n") == bands).select("species", "run")
+    return cube.join(whole, ["species", "run"], "left_semi")
+
+
+def area_counts(area: DataFrame, factor: int, ncol: int = 10) -> DataFrame:
+    """(row, col, nGerman): cells of the study area in each coarse cell that has any."""
+    row, col = coarse(F.col("cell_id"), factor, ncol)
+    return area.select("cell_id").distinct().groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").alias("nGerman"))
+
+
+def regional_final(cube: DataFrame, area: DataFrame, factor: int, bands: int, ncol: int = 10) -> DataFrame:
+    """(species, row, col, year, replicate, mean, N, nGerman): means over the study area's cells of complete runs, of coarse
+    cells that have any; the mean is null where no cell has a value."""
+    inside = complete_runs(cube, bands).join(area.select("cell_id").distinct(), "cell_id", "left_semi")
+    row, col = coarse(F.col("cell_id"), factor, ncol)
+    sums = inside.groupBy("species", row.alias("row"), col.alias("col"), "year", "replicate").agg(F.sum("prob").alias("S"), F.count("prob").alias("N"))
+    got = sums.join(area_counts(area, factor, ncol), ["row", "col"])
+    return got.select("species", "row", "col", "year", "replicate", F.when(F.col("N") > 0, F.col("S") / F.col("N")).alias("mean"), "N", "nGerman")
+
+
+def regional_summary(index: DataFrame) -> DataFrame:
+    return enough(boot(index), ["row", "col", "year"], summary("index"))
+
+
+def regional_change(index: DataFrame, current: int, reference: int) -> DataFrame:
+    return change_map(index, current, reference, ["row", "col"], "index")
+
+
+def regional_trend(index: DataFrame, least_years: int = 5) -> DataFrame:
+    """Index points per decade of cells and replicates that have every year."""
+    b = boot(index)
+    years = b.agg(F.count_distinct("year").alias("years"))
+    slopes = b.groupBy("row", "col", "replicate").agg(F.round(strict(F.regr_slope("index", "year"), "index") * 10, 9).alias("slope"), F.count("*").alias("n"))
+    return enough(slopes.join(years, (F.col("n") == F.col("years")) & (F.col("years") >= least_years)), ["row", "col"], change("slope", prefix="slope"))
+
+
+def regional_coverage(area: DataFrame, factor: int, ncol: int = 10) -> DataFrame:
+    """Share of each coarse cell's cells that lie in the study area."""
+    return area_counts(area, factor, ncol).select("row", "col", (F.col("nGerman") / (factor * factor)).alias("coverage"))
+
+
 def parity(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "prob", tolerance: float = 1e-3, share: float = 1e-3) -> DataFrame:
     """One row that compares two cubes: rows with a value on one side only, the largest difference, OK or MISMATCH."""
     left = a.select(*keys, F.col(value).alias("__a"))

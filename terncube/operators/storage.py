@@ -64,6 +64,43 @@ def scale_label(resolution: Column) -> Column:
     return F.concat(F.lit("scale_"), km)
 
 
+def shared_folder(spark, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which every executor reaches. Where that is not set a local session gets a
+    temporary folder; a cluster is refused."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="terncube-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def two_layers(cells: DataFrame, threshold: float, value: str = "prob", out: str = "mean_prob") -> DataFrame:
+    """A probability layer and whether it reaches the threshold, null where there is no probability."""
+    rest = [c for c in cells.columns if c != value]
+    return cells.select(*rest, F.col(value).alias(out), (F.col(value) >= threshold).alias("is_present"))
+
+
+def combine(layers: Sequence[DataFrame], keys: Sequence[str] = ("cell_id",)) -> DataFrame:
+    """One table with the columns of several on the same cells; a cell that one lacks has nulls there."""
+    out = layers[0]
+    for df in layers[1:]:
+        out = out.join(df, list(keys), "full_outer")
+    return out
+
+
+def assert_same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """a, which raises when read if one of the two has key values that the other lacks."""
+    one = a.select(*keys, F.lit(1).alias("__a")).distinct().join(b.select(*keys, F.lit(1).alias("__b")).distinct(), list(keys), "full_outer")
+    odd = one.agg(F.count(F.when(F.col("__a").isNull() | F.col("__b").isNull(), 1)).alias("__odd"))
+    fault = F.when(F.col("__odd") > 0, F.raise_error(F.concat(F.col("__odd").cast("string"), F.lit(" keys differ"))).cast("string"))
+    return odd.select(fault.alias("__f")).join(a, F.lit(True), "left").where("__f is null").select(*a.columns)
+
+
 def write_cube(df: DataFrame, path: str, keys: Sequence[str] = ("species", "year")) -> None:
     """Write packed probabilities partitioned by keys; only the partitions that df has are replaced."""
     out = df.withColumn("prob", pack(F.col("prob"))).repartition(*keys)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terncube.operators import grid as G
+from terncube.operators import jobs as J
 from terncube.operators import metrics as M
 from terncube.operators import models as L
 from terncube.operators import replicates as R
@@ -17,7 +18,7 @@ from terncube.operators import temporal as T
 from terncube.sources import fixtures as X
 
 BASE, CURRENT, FIVE, LAST = 1995, 2001, 1996, 2000
-QUERIES: dict[str, Callable] = {}
+QUERIES: dict[str, Callable] = {}  # extended.py adds to both
 SQL: dict[str, str] = {}
 
 
@@ -97,15 +98,15 @@ def _(s, d):
     return R.richness(X.cube(s, d))
 
 
-PAIRED = f"pr AS (SELECT c.species, c.cell_id, c.replicate, c.prob AS p1, b.prob AS p0 FROM cube c JOIN cube b USING (species, cell_id, replicate) WHERE c.year = {CURRENT} AND b.year = {BASE})"
+PAIRED = f"pr AS (SELECT c.species, c.cell_id, c.replicate, c.prob AS p1, b.prob AS p0 FROM cube c JOIN cube b USING (species, cell_id, replicate) WHERE c.year = {CURRENT} AND b.year = {BASE}), pc AS (SELECT * FROM pr WHERE replicate IN (SELECT replicate FROM pr WHERE replicate <> 0 GROUP BY replicate HAVING count(DISTINCT species) = (SELECT count(DISTINCT species) FROM pr WHERE replicate <> 0)))"
 
 
-@query("mean_delta_p", f"WITH cube AS ({X.SQL['cube']}), {PAIRED} SELECT cell_id, {summary_sql('x', 'delta', True)} FROM (SELECT cell_id, replicate, avg(p1 - p0) AS x FROM pr WHERE replicate <> 0 GROUP BY ALL) GROUP BY cell_id HAVING count(*) >= 2")
+@query("mean_delta_p", f"WITH cube AS ({X.SQL['cube']}), {PAIRED} SELECT cell_id, {summary_sql('x', 'delta', True)} FROM (SELECT cell_id, replicate, avg(p1 - p0) AS x FROM pc WHERE replicate <> 0 GROUP BY ALL) GROUP BY cell_id HAVING count(*) >= 2")
 def _(s, d):
     return R.mean_delta(X.cube(s, d), CURRENT, BASE)
 
 
-@query("bray_curtis", f"WITH cube AS ({X.SQL['cube']}), {PAIRED} SELECT cell_id, {summary_sql('x')} FROM (SELECT cell_id, replicate, sum(abs(p1 - p0)) / greatest(sum(p0 + p1), 1e-12) AS x FROM pr WHERE replicate <> 0 GROUP BY ALL) GROUP BY cell_id HAVING count(*) >= 2")
+@query("bray_curtis", f"WITH cube AS ({X.SQL['cube']}), {PAIRED} SELECT cell_id, {summary_sql('x')} FROM (SELECT cell_id, replicate, sum(abs(p1 - p0)) / greatest(sum(p0 + p1), 1e-12) AS x FROM pc WHERE replicate <> 0 GROUP BY ALL) GROUP BY cell_id HAVING count(*) >= 2")
 def _(s, d):
     return R.turnover(X.cube(s, d), CURRENT, BASE)
 
@@ -175,9 +176,9 @@ def _(s, d):
     return M.explained_deviance(X.scores(s, d))
 
 
-@query("cell_lookup", X.with_views(f"SELECT row_id, CAST(floor((3600000 - y) / 60000) * 10 + floor((x - 4000000) / 60000) AS BIGINT) AS cell_id, {r('brt', 'value')} FROM training LEFT JOIN by_cell ON by_cell.cell_id = floor((3600000 - y) / 60000) * 10 + floor((x - 4000000) / 60000) WHERE y > 3000000", "training", "by_cell"))
+@query("cell_lookup", X.with_views(f"SELECT row_id, loc.cell_id, {r('brt', 'value')} FROM (SELECT row_id, CASE WHEN y > 3000000 THEN CAST(floor((3600000 - y) / 60000) * 10 + floor((x - 4000000) / 60000) AS BIGINT) END AS cell_id FROM training) loc LEFT JOIN by_cell ON by_cell.cell_id = loc.cell_id", "training", "by_cell"))
 def _(s, d):
-    at = X.training(s, d).where("y > 3000000").select("row_id", G.cell_of(F.col("x"), F.col("y"), 4_000_000.0, 3_600_000.0, 60_000.0, 10, 10).alias("cell_id"))
+    at = X.training(s, d).select("row_id", G.cell_of(F.col("x"), F.col("y"), 4_000_000.0, 3_600_000.0, 60_000.0, 10, 10).alias("cell_id"))
     values = X.members(s, d).where("member = 'brt'").select("cell_id", F.col("prob").alias("value"))
     return at.join(values, "cell_id", "left").select("row_id", "cell_id", "value")
 
@@ -189,9 +190,9 @@ def _(s, d):
     return G.bilinear(values, targets, 10)
 
 
-@query("neighbours", X.with_views("SELECT DISTINCT CAST(rr * 10 + cc AS BIGINT) AS cell_id FROM (SELECT floor(cell_id / 10) + dr AS rr, cell_id % 10 + dc AS cc FROM by_cell, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc) WHERE cell_id % 37 = 5) WHERE rr BETWEEN 0 AND 99 AND cc BETWEEN 0 AND 9", "by_cell"))
+@query("neighbours", X.with_views("SELECT DISTINCT CAST(rr * 10 + cc AS BIGINT) AS cell_id FROM (SELECT floor(cell_id / 10) + dr AS rr, cell_id % 10 + dc AS cc FROM by_cell, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc)) WHERE rr BETWEEN 0 AND 99 AND cc BETWEEN 0 AND 9", "by_cell"))
 def _(s, d):
-    return G.neighbours(X.members(s, d).where("member = 'brt' and cell_id % 37 = 5").select("cell_id"), 10, 100)
+    return G.neighbours(X.members(s, d).where("member = 'brt'").select("cell_id"), 10, 100)
 
 
 @query("nearest_record", X.with_views("SELECT id, ref_id, round(d2, 6) + 0.0 AS d2 FROM (SELECT q.id, f.id AS ref_id, (q.x - f.x) * (q.x - f.x) + (q.y - f.y) * (q.y - f.y) AS d2, row_number() OVER (PARTITION BY q.id ORDER BY (q.x - f.x) * (q.x - f.x) + (q.y - f.y) * (q.y - f.y), f.id) AS k FROM pts q, pts f WHERE q.id % 5 = 0 AND f.id % 5 <> 0) WHERE k = 1", "pts"))
@@ -348,7 +349,8 @@ def _by_year(s, d):
 
 @query("ridge_fit")
 def _(s, d):
-    return L.fit(_by_year(s, d), ["year"], "ridge", P4).select("year", "family", "presences", "absences", "note")
+    """Ridge weights by year."""
+    return J.coefficients(L.fit(_by_year(s, d), ["year"], "ridge", P4), ["year"], P4)
 
 
 @query("glm_aic")
@@ -371,7 +373,7 @@ def _(s, d):
     t = _by_year(s, d)
     members = [L.block_cv(t, ["year"], f, P4).select("row_id", F.col("y").alias("occurrence"), F.col("p").alias(f), "fold_id") for f in ("glm", "gam")]
     both = members[0].join(members[1].select("row_id", "gam"), "row_id").withColumn("species", F.lit("R"))
-    return L.fit(both, ["species"], "ridge", ["glm", "gam"]).select("species", "presences", "absences", "note")
+    return J.coefficients(L.fit(both, ["species"], "ridge", ["glm", "gam"]), ["species"], ["glm", "gam"])
 
 
 @query("importance")

@@ -4,6 +4,7 @@ import math
 
 import pytest
 
+from terncube.plans import extended  # noqa: F401  adds to the queries
 from terncube.plans.queries import QUERIES, SQL
 
 
