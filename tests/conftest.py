@@ -1,4 +1,6 @@
+import faulthandler
 import os
+import signal
 import sys
 
 import pytest
@@ -8,6 +10,23 @@ sys.path.insert(0, ROOT)
 SF = "/root/testdata/sf0.001"
 
 
+TEST_SECONDS = 400
+
+
+def _late(number, frame):
+    faulthandler.dump_traceback()
+    raise TimeoutError(f"more than {TEST_SECONDS} seconds")
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    """No test may take the whole run with it."""
+    signal.signal(signal.SIGALRM, _late)
+    signal.alarm(TEST_SECONDS)
+    yield
+    signal.alarm(0)
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
