@@ -106,7 +106,7 @@ def _levels(counts: DataFrame) -> np.ndarray:
         return pd.DataFrame({"part": [int(key[0])], "levels": [zlib.compress(np.minimum(level, 255).astype(np.uint8).tobytes(), 1)]})
 
     out = np.zeros(1 << COUNT_BITS, np.uint8)
-    for r in counts.groupBy("part").applyInPandas(add, "part int, levels binary").toLocalIterator():
+    for r in counts.groupBy("part").applyInPandas(add, "part int, levels binary").collect():
         out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zlib.decompress(r["levels"]), np.uint8)
     return out
 
