@@ -71,10 +71,22 @@ def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return found.select(F.col("url").alias("a"), full.alias("b")).where("b is not null")
 
 
+def without_dots(path):
+    """A path without the segments . and .. (which takes the one before it away); one that ends in them ends in a slash."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    parts = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    shorter = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", shorter(done)).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
 def _node(df: DataFrame, url: str, out: str) -> DataFrame:
-    """The node of a url: host, path (a missing one is /) and query; scheme and fragment do not tell urls apart."""
+    """The node of a url: host, path (a missing one is /, dot segments resolved) and query; scheme and fragment do not tell
+    urls apart."""
     parts = with_parts(df, url, "_h", "_p", "_q")
-    node = F.when(F.col("_h") != "", F.concat("_h", F.when(F.col("_p") == "", "/").otherwise(F.col("_p")), "_q"))
+    node = F.when(F.col("_h") != "", F.concat("_h", F.when(F.col("_p") == "", "/").otherwise(without_dots(F.col("_p"))), "_q"))
     return parts.withColumn(out, node).drop("_h", "_p", "_q")
 
 

@@ -82,6 +82,16 @@ def test_url_filter(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
 
 
+def test_links_with_dot_segments(spark):
+    paths = {"/a/../b": "/b", "/a/./b/": "/a/b/", "/../../x": "/x", "/a/b/..": "/a/", "/a/.": "/a/", "/.": "/", "/a.b/..c": "/a.b/..c", "/a//../b": "/a/b"}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r[0]: r[1] for r in rows.select("p", urls.without_dots(F.col("p"))).collect()} == paths
+    pages = [(1, "http://x.net/a/b/c", '<link rel="canonical" href="../../en/../z">'), (2, "http://x.net/z", '<link rel="canonical" href="http://bad.com/en/./1">'), (3, "http://x.net/other", None)]
+    rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
+    got = urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), rules)
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "block", 3: "allow"}
+
+
 def brute_sets(texts, k):
     for t in texts:
         w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -351,8 +361,11 @@ def line_recall(spark, lengths, n):
 
 
 def test_line_buckets_find_edits(spark):
-    for pairs, found in line_recall(spark, (95, 130, 200), 100).values():
-        assert found >= 0.9 * pairs
+    """All classes of length, those that sign with all shingles, with word starts and with both."""
+    got = line_recall(spark, (30, 60, 95, 130, 200, 600), 60)
+    print(got)
+    for pairs, found in got.values():
+        assert found >= 0.95 * pairs
 
 
 def test_line_dedup(spark):
