@@ -148,7 +148,6 @@ def _across(stars: DataFrame, comp: DataFrame, scratch: Scratch, num: int, den:
 def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num: int = 8, den: int = 10) -> DataFrame:
     """(node, component) of the lines that have a link, by place."""
     stars = _stars(signed, scratch)
-    scratch.drop(signed)
     texts = scratch.cut(lines.join(stars.select(F.explode(F.array("a", "b")).alias("place")).distinct(), "place", "left_semi"))
     stars = scratch.cut(_compared(stars, texts))
     links = scratch.cut(stars.where(_linked(num, den)).select("a", "b"))
@@ -156,6 +155,7 @@ def line_components(signed: DataFrame, lines: DataFrame, scratch: Scratch, num:
     across = _across(stars, comp, scratch, num, den)
     scratch.drop(stars)
     more = scratch.cut(_compared(across, texts).where(_linked(num, den)).select("a", "b"))
+    scratch.drop(texts, across)
     joined = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     return scratch.cut(components(joined, scratch))
 
@@ -164,7 +164,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", num: i
     """docs with the text reduced to the lines that stay; columns and rows are as before."""
     scratch = Scratch(docs.sparkSession)
     lines = scratch.cut(split_lines(docs, key, text).groupBy("line").agg(F.min("place").alias("place")))
-    comp = line_components(scratch.cut(buckets(lines)), lines, scratch, num, den)
+    comp = line_components(buckets(lines), lines, scratch, num, den)
     gone = comp.where("component < node").select(F.col("node").alias("place"))
     number = F.col("place") % F.lit(1 << 31).cast("decimal(10,0)")
     left = lines.select("place").join(gone, "place", "left_anti").withColumn("no", number)
