@@ -35,3 +35,9 @@ def test_a_key_with_many_rows_is_fitted_by_passes(monkeypatch, rows, family):
         b = fit_logistic(x, y)["b"] if family == "logistic" else fit_ridge(x, y, lam=lam)["b"]
         assert np.allclose(got.loc[year].to_numpy(), b, atol=1e-6)
         assert family == "logistic" or 1e-4 <= lam <= 1
+
+
+def test_importance_by_passes(monkeypatch, rows):
+    monkeypatch.setattr(S, "LARGE", 100)
+    got = {r["predictor"]: r["importance"] for r in L.importance(rows, PREDICTORS).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["a"] > got["b"] >= 0
