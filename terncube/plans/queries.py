@@ -370,9 +370,10 @@ for _family in ("rf", "nn", "gam"):
 
 @query("stacked_meta")
 def _(s, d):
-    t = _by_year(s, d)
-    members = [L.block_cv(t, ["year"], f, P4).select("row_id", F.col("y").alias("occurrence"), F.col("p").alias(f), "fold_id") for f in ("glm", "gam")]
-    both = members[0].join(members[1].select("row_id", "gam"), "row_id").withColumn("species", F.lit("R"))
+    cv = L.member_cv(_by_year(s, d), ["year"], ["glm", "gam"], P4).select(F.lit("R").alias("species"), "row_id", F.col("y").alias("occurrence"), "fold_id", "glm", "gam")
+    path = D.shared_folder(s, "members")
+    cv.write.parquet(path)  # the ridge reads it several times
+    both = s.read.parquet(path)
     return J.coefficients(L.fit(both, ["species"], "ridge", ["glm", "gam"]), ["species"], ["glm", "gam"])
 
 

@@ -94,3 +94,14 @@ def test_comparison_counts_every_row_once(monkeypatch, rows):
 def _auc(y, x):
     wins = (x[y == 1][:, None] > x[y == 0]) + 0.5 * (x[y == 1][:, None] == x[y == 0])
     return max(wins.mean(), 1 - wins.mean())
+
+
+def test_members_predict_each_row_once(rows):
+    """Row ids repeat: a join of the members by them would multiply rows."""
+    repeated = rows.withColumn("row_id", rows["row_id"] % 3)
+    got = L.member_cv(repeated, ["year"], ["glm", "logistic"], PREDICTORS)
+    assert got.count() == 900
+    order = ["row_id", "year"]
+    plain = L.block_cv(rows, ["year"], "glm", PREDICTORS).toPandas().sort_values(order)["p"].to_numpy()
+    ours = L.member_cv(rows, ["year"], ["glm"], PREDICTORS).toPandas().sort_values(order)["glm"].to_numpy()
+    assert np.allclose(plain, ours, atol=1e-9, equal_nan=True)
