@@ -365,7 +365,7 @@ def _(s, d):
 
 
 for _family in ("rf", "nn", "gam"):
-    query(f"{_family}_predict")(lambda s, d, f=_family: L.predict_with(_by_year(s, d), L.fit(_by_year(s, d), ["year"], f, P4), ["year"], P4).select("row_id", "year", "prob"))
+    query(f"{_family}_predict")(lambda s, d, f=_family: L.predict_with(_by_year(s, d).select("row_id", "year", *P4), L.fit(_by_year(s, d), ["year"], f, P4), ["year"], P4).select("row_id", "year", "prob"))
 
 
 @query("stacked_meta")
