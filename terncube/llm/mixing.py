@@ -56,26 +56,42 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, m
     """One row per document: (key, size, source, source_size, target, taken, *keep).
 
     A source's budget is its target, rounded half up. Its documents stand in the order of a hash of their key; each whole
-    epoch takes every document, the last takes them in order until the budget is used, the last document in part. The
-    hash range is cut into ranges of about bucket_rows rows, so a source of any size is summed by many tasks: sums by
-    range, prefix sums over ranges, then running sums inside each range."""
+    epoch takes every document, the last takes them in order until the budget is used, the last document in part. Where that
+    is, is found on ids and sizes alone: sums by ranges of the hash of about bucket_rows rows, prefix sums over ranges, and
+    running sums inside the one range of a source in which its budget ends. That place, one row a source, then meets the
+    documents, which do not move: those before it are taken once more, those after it are not."""
     scratch = Scratch(docs.sparkSession)
     rank = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(text), F.lit("null"))))
     sized = scratch.cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), rank.alias("rank"), *[F.col(c).alias(f"keep_{c}") for c in keep]))
     targets = scratch.cut(source_targets(sized, weights, percent, most))
     bits = max(0, (sized.count() // bucket_rows).bit_length())
     at = F.conv(F.substring("rank", 1, 8), 16, 10).cast("long")
-    ranged = sized.withColumn("range", F.shiftright(at, 32 - bits))
+    ranged = sized.select("key", "source", "size", "rank", F.shiftright(at, 32 - bits).alias("range"))
+    budget = F.floor(F.col("target") + 0.5)
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
+    asked = targets.select(F.col("source").alias("s"), "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("rest"))
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("in_range").over(before), F.lit(0))).join(targets, sums.source.eqNullSafe(targets.source)).select(sums.source, "range", "start", "source_size", "target")
-    starts = starts.withColumnsRenamed({"source": "s", "range": "r"})
-    both = ranged.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    inside = Window.partitionBy("source", "range").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.floor(F.col("target") + 0.5) - F.col("epochs") * F.col("source_size") - F.col("start") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    out = both.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.floor(F.col("target") + 0.5) / F.col("source_size"))).otherwise(F.lit(0)))
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return out.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    starts = sums.withColumn("start", F.coalesce(F.sum("in_range").over(before), F.lit(0))).join(asked, F.col("source").eqNullSafe(F.col("s")))
+    ends = starts.where("start <= rest and rest < start + in_range").select("s", F.col("range").alias("r"), "start", "rest")
+    alike = ranged.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).groupBy("s", "start", "rest", "rank", "key", "size").agg(F.count("*").alias("copies"))
+    inside = Window.partitionBy("s").orderBy("rank", "key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("rank", "key", "size")
+    left = F.col("rest") - F.col("start") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0))
+    last = alike.withColumn("left", left).where("left >= 0 and left < size * copies").select(F.col("s").alias("s1"), place.alias("last"), "left", "copies")
+    cuts = scratch.cut(asked.join(last, F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1", "rest"))
+    both = sized.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", F.struct("rank", "key", "size"))
+    part = F.when(F.col("place") < F.col("last"), F.col("size")).when(F.col("place") == F.col("last"), F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))).otherwise(F.lit(0))
+
+    def laid(rows: DataFrame) -> DataFrame:
+        taken = F.col("epochs") * F.col("size") + part
+        return rows.select(F.col("key").alias(key), "size", F.col("source").alias(source), "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+
+    if cuts.where("copies > 1").isEmpty():
+        return laid(both.withColumn("before", F.lit(0)))
+    repeated = F.coalesce(F.col("place").eqNullSafe(F.col("last")) & (F.col("copies") > 1), F.lit(False))  # equal rows at the end of a budget take turns
+    turn = F.row_number().over(Window.partitionBy("source", "place").orderBy("rank")) - 1
+    return laid(both.where(~repeated).withColumn("before", F.lit(0))).unionByName(laid(both.where(repeated).withColumn("before", turn * F.col("size"))))
 
 
 def op6_mix(spark, sf_dir: str) -> DataFrame:
