@@ -64,3 +64,65 @@ def test_registry_counts_rows_not_their_kinds(spark):
     df = spark.createDataFrame(rows, "row_id long, a double, occurrence int").selectExpr("'k' as k", "*")
     got = models.fit(df, ["k"], "nn", ["a"], rounds=5).first()
     assert (got["presences"], got["absences"], got["note"]) == (30, 30, "")
+
+
+def test_boosted_trees_count_equal_rows():
+    x, y, n = made()
+    n[:3] = 70, 64, 129
+    at = np.random.default_rng(1).permutation(np.repeat(np.arange(len(y)), n))
+    limits = {"least_trees": 20, "most_trees": 300, "step": 10}
+    once, each = fitters.search_brt(x, y, n=n, **limits), fitters.search_brt(x[at], y[at], **limits)
+    assert once["rate"] == each["rate"] and once["best_trees"] == each["best_trees"]
+    assert np.allclose(fitters.predict(once, x), fitters.predict(each, x), atol=1e-12)
+    assert ((fitters.predict(once, x) > 0.5) == (y > 0.5)).mean() > 0.7
+
+
+def test_boosted_trees_as_table_and_as_trees(monkeypatch):
+    x, y, _ = made()
+    table = fitters.fit_brt(x, y, trees=30)
+    monkeypatch.setattr(fitters, "GRID", 0)
+    trees = fitters.fit_brt(x, y, trees=30)
+    assert trees["table"] is None and np.allclose(fitters.predict(table, x), fitters.predict(trees, x))
+
+
+def test_bags_hold_their_rows():
+    n = np.array([1, 64, 0, 200, 3])
+    for bag in (0.75, 0.5):
+        draws = fitters._bags(np.random.default_rng(2), np.stack([n, n // 2]), bag)
+        both = np.array([next(draws) for _ in range(400)])
+        for got, of in zip(both.swapaxes(0, 1), (n, n // 2), strict=True):
+            assert (got.sum(1) == int(bag * of.sum())).all() and (got <= of).all() and (got >= 0).all()
+            assert np.allclose(got.mean(0), of * int(bag * of.sum()) / of.sum(), atol=0.8)
+
+
+def test_a_tree_on_kinds_is_that_on_rows():
+    x, y, n = made(60)
+    kinds = fitters.Kinds.of(x, y, n, np.zeros(n.sum(), int), 1)
+    rows, p = kinds.rows[0].astype(float), 0.3
+    both = np.stack([rows * (kinds.codes[0] > 1), rows])  # trees that grow together know nothing of each other
+    column, cut, _, value = (part[1] for part in fitters._level_trees(kinds, kinds.keys(2), both, both * (kinds.y - p), both * p * (1 - p), 2, 5))
+    best = {}
+    for j in range(2):
+        for c in range(kinds.widths[j]):
+            low = kinds.codes[j] <= c
+            if rows[low].sum() >= 5 and rows[~low].sum() >= 5:
+                best[j, c] = sum((rows[m] * (kinds.y[m] - p)).sum() ** 2 / rows[m].sum() for m in (low, ~low))
+    assert (column[0], cut[0]) == max(best, key=best.get)
+    for v in np.unique(value):
+        m = value == v
+        assert np.isclose(v, (rows[m] * (kinds.y[m] - p)).sum() / (rows[m] * p * (1 - p)).sum())
+
+
+def test_search_reaches_rows_by_their_fold(spark):
+    """Row ids repeat, a row has no value, and one has no fold."""
+    x, y, _ = made()
+    rows = [("k", i % 9, None if i == 3 else i % 2, None if i == 5 else float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "k string, row_id int, fold_id int, a double, b double, occurrence int")
+    got = models.block_cv(df, ["k"], "brt_search", ["a", "b"], least_trees=10, most_trees=400, step=10)
+    assert got.count() == 399 and got.where("p is null").count() == 0
+    for fold in (0, 1):
+        t = df.where(f"fold_id <> {fold}").dropna().toPandas()
+        model = fitters.search_brt(t[["a", "b"]].to_numpy(), t["occurrence"].to_numpy(float), least_trees=10, most_trees=400, step=10)
+        test = df.where(f"fold_id = {fold}").toPandas()
+        p = got.where(f"fold_id = {fold}").toPandas()["p"].to_numpy()
+        assert np.allclose(np.sort(p), np.sort(fitters.predict(model, test[["a", "b"]].to_numpy(float))))
