@@ -142,44 +142,41 @@ def _postings(rows: DataFrame, m: Measure, levels) -> DataFrame:
 
 def _shared(postings: DataFrame) -> DataFrame:
     """The postings of prefix shingles that several sets have, each with the leader of its shingle: the set with the fewest
-    rarer shingles. One shuffle; the sorted rows are only passed along, whatever the size of a group."""
-    names = ["shingle", "sid", "n", "pos", "lead", "lead_n", "lead_pos"]
+    rarer shingles. many: whether more than two sets have it. One shuffle; the sorted rows are only passed along, whatever
+    the size of a group."""
+    names = ["shingle", "sid", "n", "pos", "lead", "lead_n", "lead_pos", "many"]
     sorted_rows = postings.repartition("shingle").sortWithinPartitions("shingle", "pos", "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((4, 0), np.int64)
-        lead = None  # of a group that began in an earlier batch
+        lead, seen = None, 0  # of a group that began in an earlier batch, and its rows there
 
-        def emit(rows: np.ndarray, after: int | None):
-            nonlocal held, lead
+        def emit(rows: np.ndarray, after: np.ndarray):
+            nonlocal lead, seen
             key = rows[0]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(start, len(key)))
-            head = rows[:, start].copy()
+            head, known = rows[:, start].copy(), size.copy()
             if lead is not None and lead[0] == key[0]:
                 head[:, 0] = lead
-            full = np.repeat(head, size, axis=1)
-            group = np.repeat(size, size) > 1
-            if lead is not None and lead[0] == key[0]:
-                group[: size[0]] = True
-            if after == key[-1]:
-                group[-size[-1] :] = True
-            lead = head[:, -1].copy()
+                known[0] += seen
+            lead, seen = head[:, -1].copy(), int(known[-1])
+            known[-1] += (after == key[-1]).sum()
+            full, many = np.repeat(head, size, axis=1), np.repeat(known > 2, size)
+            group = np.repeat(known > 1, size)
             full, rows = full[:, group], rows[:, group]
-            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int32)), pa.array(full[1]), pa.array(full[2].astype(np.int32)), pa.array(full[3].astype(np.int32))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32)), pa.array(rows[3].astype(np.int32)), pa.array(full[1]), pa.array(full[2].astype(np.int32)), pa.array(full[3].astype(np.int32)), pa.array(many[group])], names=names)
 
         for b in batches:
             rows = np.concatenate([held, np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])], axis=1)
-            if not rows.shape[1]:
-                continue
-            cut = rows.shape[1] - 1  # the last row waits: whether it is alone shows in the next batch
+            cut = max(0, rows.shape[1] - 2)  # the last two wait: whether others share their shingle shows in the next batch
             if cut:
-                yield emit(rows[:, :cut], rows[0, cut])
+                yield emit(rows[:, :cut], rows[0, cut:])
             held = rows[:, cut:]
         if held.shape[1]:
-            yield emit(held, None)
+            yield emit(held, held[0, :0])
 
-    return sorted_rows.mapInArrow(run, "shingle long, sid long, n int, pos int, lead long, lead_n int, lead_pos int")
+    return sorted_rows.mapInArrow(run, "shingle long, sid long, n int, pos int, lead long, lead_n int, lead_pos int, many boolean")
 
 
 def _may_link(m: Measure, a: str, b: str) -> str:
@@ -239,13 +236,14 @@ def jaccard_components(docs: DataFrame, measure: Measure = Measure(), key: str =
     levels = spark.sparkContext.broadcast(_levels(told.where("part is not null").select("part", "counts")))
     shared = scratch.cut(_shared(_postings(rows, measure, levels)))
     texts = rows.select("digest", "text")
+    # two sets that share a shingle with no third are a leader and its only mate: their pair is compared here or cannot link
     star = shared.where("sid <> lead").where(_may_link(measure, "", "lead_")).select(F.col("lead").alias("a"), F.col("sid").alias("b"))
     wanted = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(known, "sid").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     star = scratch.cut(star.distinct())
     links = scratch.cut(_verified(star, known, wanted(star), measure))
     comp = scratch.cut(components(links, scratch))
     label = lambda c, out: comp.select(F.col("node").alias(c), F.col("component").alias(out))
-    placed = shared.join(label("sid", "own"), "sid", "left").join(label("lead", "lead_own"), "lead", "left").withColumns({"own": F.coalesce("own", "sid"), "lead_own": F.coalesce("lead_own", "lead")})
+    placed = shared.where("many").join(label("sid", "own"), "sid", "left").join(label("lead", "lead_own"), "lead", "left").withColumns({"own": F.coalesce("own", "sid"), "lead_own": F.coalesce("lead_own", "lead")})
     spread = known.select("sid", "bins")
     out_rows = placed.where("own <> lead_own").join(spread, "sid").select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("sid", "n", "pos", "own", "bins")])
     met = placed.join(placed.where("own <> lead_own").select("shingle").distinct(), "shingle", "left_semi").join(spread, "sid")
