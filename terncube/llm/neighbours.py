@@ -22,7 +22,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 from terncube.llm.runtime import Scratch
 
@@ -40,6 +39,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
+#: Rotations of up to DENSE components, which a worker keeps.
+DENSE = 256
+_SPUN: dict[tuple, np.ndarray] = {}
+
+
 @dataclass
 class CrossPolytope:
     """tables hash tables over vectors of dim components whose largest norm is norm; the second hash of a table has
@@ -66,7 +70,15 @@ class CrossPolytope:
         return out
 
     def rotate(self, x: np.ndarray, number: int) -> np.ndarray:
-        """Three times random signs and the fast Hadamard transform."""
+        """Three times random signs and the fast Hadamard transform; up to DENSE components as one product."""
+        if self.padded > DENSE:
+            return self.spun(x, number)
+        key = (self.seed, self.padded, self.axes, number)
+        if key not in _SPUN:
+            _SPUN[key] = self.spun(np.eye(self.padded), number)[:, : self.axes if number % 2 else self.padded].copy()
+        return x @ _SPUN[key]
+
+    def spun(self, x: np.ndarray, number: int) -> np.ndarray:
         signs = np.random.default_rng([self.seed, number]).integers(0, 2, (3, self.padded)) * 2.0 - 1
         for s in signs:
             x = hadamard(x * s)
@@ -88,13 +100,15 @@ class CrossPolytope:
         for t in range(self.tables):
             found = []
             for s in self.scores(lifted, t):
-                order = np.argsort(-s, axis=1, kind="stable")[:, : min(n, s.shape[1])]
+                order = np.argsort(-s, axis=1)[:, : min(n, s.shape[1])]
                 best = np.take_along_axis(s, order, 1)
                 found.append((order, (best[:, :1] - best) ** 2))
             (i, u), (j, v) = found
-            loss = (u[:, :, None] + v[:, None, :]).reshape(len(x), -1)
-            pair = (i[:, :, None] * max(1, 2 * self.axes) + j[:, None, :]).reshape(len(x), -1)
-            out.append(np.take_along_axis(pair, np.argsort(loss, axis=1, kind="stable")[:, :n], 1))
+            a, b = np.nonzero(np.outer(np.arange(1, u.shape[1] + 1), np.arange(1, v.shape[1] + 1)) <= n)  # others have n before them
+            loss, pair = u[:, a] + v[:, b], i[:, a] * max(1, 2 * self.axes) + j[:, b]
+            if n < len(a):
+                pair = np.take_along_axis(pair, np.argpartition(loss, n - 1, axis=1)[:, :n], 1)
+            out.append(pair)
         return np.stack(out, 1).astype(np.int32)
 
     def needed(self, query: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -191,28 +205,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
     padded = 1 << dims["d"].bit_length()
     more = whole["n"] // (per_bucket * 2 * padded)
     hashes = CrossPolytope(dims["d"], whole["norm"], tables, min(padded, 1 << (more.bit_length() - 1)) if more else 0)
-    dim = hashes.dim
+    dim, most = hashes.dim, float(whole["norm"]) ** 2
     probes = max(probes, _probes_for(classes, hashes, keep, recall, sample))
     width = 2 * padded * max(1, 2 * hashes.axes)
     scan = probes >= width or 2 * tables * probes >= width
 
-    def places(ask: bool):
-        @F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-        def of(v: pd.Series) -> pd.Series:
-            out = []
+    def places(df: DataFrame, ask: bool) -> DataFrame:
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = max(16, min(1024, (1 << 22) // (min(probes, 2 * padded) * min(probes, max(1, 2 * hashes.axes))))) if ask else 1024
-            for lo in range(0, len(v), rows):
-                x = np.stack(v.iloc[lo : lo + rows].to_numpy())
-                found = hashes.probes(x, probes) if ask else hashes.buckets(x)[:, :, None]
-                out += [[list(map(int, t)) for t in r] for r in found]
-            return pd.Series(out)
-
-        return of
+            for b in batches:
+                for lo in range(0, b.num_rows, rows):
+                    part = b.slice(lo, rows)
+                    x = _matrix(part.column("v"), dim)
+                    found = (hashes.probes(x, probes) if ask else hashes.buckets(x)[:, :, None]).astype(np.int32)
+                    n, t, m = found.shape
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n * t + 1, dtype=np.int32) * m), pa.array(found.reshape(-1)))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * t), lists)
+                    yield pa.RecordBatch.from_arrays([part.column("class"), part.column("v"), lists], names=["class", "v", "places"])
+
+        return df.select("class", "v").mapInArrow(of, "class long, v array<double>, places array<array<int>>")
 
     def spread(df: DataFrame, ask: bool) -> DataFrame:
         if scan:
             return df.select("class", "v", F.lit(0).alias("table"), F.lit(0).alias("bucket"))
-        by_table = df.withColumn("places", places(ask)("v")).select("class", "v", F.posexplode("places").alias("table", "buckets"))
+        by_table = places(df, ask).select("class", "v", F.posexplode("places").alias("table", "buckets"))
         return by_table.select("class", "v", "table", F.explode("buckets").alias("bucket"))
 
     index = spread(classes, False)
@@ -226,12 +242,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
         names = ["query", "class", "score"]
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size, now, ids, vs = 0, None, [], []
+        sure = (np.zeros(0, np.int64), np.zeros(0))  # queries with enough found, and the score that a better one must reach
 
         def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             q, o, s = (np.concatenate(c) for c in zip(*held, strict=True))
             at = _best(q, o, s, keep)
             return q[at], o[at], s[at]
 
+        def reach(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            last = np.flatnonzero(np.append(found[0][1:] != found[0][:-1], True))
+            full = np.diff(last, prepend=-1) == keep
+            return found[0][last[full]], found[2][last[full]]
+
         def batch(found) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=names)
 
@@ -256,13 +278,21 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vect
                     rough = q @ vs[0].T
                     n = min(keep + 8, rough.shape[1])
                     top = np.argpartition(-rough, n - 1, axis=1)[:, :n] if n < rough.shape[1] else np.broadcast_to(np.arange(n), rough.shape)
-                    score = np.stack([(a * vs[0][t]).sum(1) for a, t in zip(q, top, strict=True)])  # in one order of summation for every block
-                    held.append((np.repeat(klass[at : at + len(q)], n), ids[0][top].reshape(-1), score.reshape(-1)))
-                    size += score.size
-                if size > 1 << 20:
+                    own = klass[at : at + len(q)]
+                    least = np.full(len(q), -np.inf)
+                    if len(sure[0]):
+                        spot = np.minimum(np.searchsorted(sure[0], own), len(sure[0]) - 1)
+                        least = np.where(sure[0][spot] == own, sure[1][spot], -np.inf)
+                    # far below any error of summation: what may reach its place is summed anew, in one order for every block
+                    close = np.take_along_axis(rough, top, 1) >= (least - 1e-6 * (np.abs(least) + most))[:, None]
+                    one, other = np.nonzero(close)
+                    other = top[one, other]
+                    held.append((own[one], ids[0][other], (q[one] * vs[0][other]).sum(1)))
+                    size += len(one)
+                if size > 1 << 18:
                     held = [reduced()]
-                    size = len(held[0][0])
-                    if size > 1 << 19:
+                    size, sure = len(held[0][0]), reach(held[0])
+                    if size > 1 << 17:
                         yield batch(held[0])
                         held, size = [], 0
         if held:
