@@ -33,7 +33,7 @@ class Scratch:
         """Write df and return the table that was written: the lineage ends here. free: have the cleaner delete the shuffle
         files that led to it; else they stay until the next such call."""
         path = f"{self.root}/{len(self.made)}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         if free:  # shuffle files go once the driver drops what led to the table
             gc.collect()
