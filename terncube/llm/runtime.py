@@ -52,6 +52,22 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sieve(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is among wanted's one column, distinct and of integers, and a few others: for a table too
+    wide to be dealt out for an exact join. A table of bits is broadcast, 16 or more for each of wanted's rows up to a
+    million words of 64; beyond that more of the others pass."""
+    words = 64
+    n = wanted.count()
+    while 4 * words < n and words < 1 << 20:
+        words *= 2
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * words))
+    marks = wanted.select(place(wanted.columns[0]).alias("p")).select(F.shiftright("p", 6).alias("__w"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("m"))
+    marks = marks.groupBy("__w").agg(F.bit_or("m").alias("__bits"))
+    at = df.withColumn("__p", place(key)).withColumn("__w", F.shiftright("__p", 6))
+    some = at.join(F.broadcast(marks), "__w").where("(shiftrightunsigned(__bits, cast(__p & 63 as int)) & 1L) = 1L")
+    return some.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

@@ -388,6 +388,32 @@ def test_line_dedup_of_repetitive_lines(spark):
     assert got[1] == got[3] == got[5] == ""
 
 
+def test_line_dedup_moves_texts_once(spark, monkeypatch):
+    """Pairs of lines travel by 64-bit names, not by places, the differing shingles are written once, and the texts are looked
+    up behind a sieve, which stays below the exchange."""
+    made, cut = [], runtime.Scratch.cut
+    monkeypatch.setattr(runtime.Scratch, "cut", lambda self, df, free=True: made.append((df.schema, df)) or cut(self, df, free))
+    long = sentence(40, 77).split()
+    rows = [(i, "\n".join([" ".join(long[:i] + ["zz"] + long[i + 1 :]), sentence(12, 500 + i), sentence(30, 900 + i % 3)])) for i in range(12)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_lines(rows)
+    assert got == {i: want(i, t) for i, t in rows}
+    pairs = [s for s, _ in made if {"a", "b"} <= set(s.names) or {"node", "component"} <= set(s.names)]
+    assert pairs and not any("decimal" in f.dataType.simpleString() for s in pairs for f in s)
+    assert sum("array" in f.dataType.simpleString() for s, _ in made for f in s) == 1
+    texts = [df for s, df in made if set(s.names) == {"id", "place", "line"}][-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert texts.count("Join Inner") == 2 and texts.index("__bits") > 0
+
+
+def test_sieve(spark):
+    table = spark.range(20_000).select((F.col("id") * 7 - 50_000).alias("k"), F.lit("x").alias("wide.r"))
+    for n in (0, 1, 300):
+        wanted = spark.range(n).select((F.col("id") * 70 - 50_000).alias("w"))
+        got = {r["k"] for r in runtime.sieve(table, "k", wanted).collect()}
+        assert {r["w"] for r in wanted.collect()} <= got and len(got) <= n + 0.1 * 20_000
+    assert runtime.sieve(table, "k", wanted).columns == table.columns
+
+
 @pytest.mark.parametrize("data", [b"", b"a", bytes(range(256)) * 5, b"\xff" * 300, "é".encode() * 5000])
 def test_media_round_trip(data):
     payload = media.padded(data)
