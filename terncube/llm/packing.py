@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import accumulate, chain, islice
 
 import numpy as np
@@ -42,7 +42,8 @@ def token_file(name: str = "byte_bpe_50k.json") -> str:
 
 class Encoder:
     """ids of texts as little-endian 32-bit bytes. The tokenizer's result for a part is kept, so that frequent words cost
-    one lookup; once CACHE parts are kept, others live as long as their batch."""
+    one lookup; once CACHE parts are kept, others live as long as their batch, in the same table, so that every lookup costs
+    the same."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -61,13 +62,19 @@ class Encoder:
         parts = [None if any(a in t for a in self.added) else PART.findall(t) for t in texts]  # added tokens cut across parts
         every = list(filter(None, parts))
         new = list(set(chain.from_iterable(every)).difference(self.kept))
-        fresh: dict[str, bytes] = {}
+        room = max(0, CACHE - len(self.kept))
         for lo in range(0, len(new), 20_000):
-            fresh.update(zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000]), strict=True))
-        self.kept.update(islice(fresh.items(), max(0, CACHE - len(self.kept))))
-        look = ChainMap(self.kept, fresh)
-        get = self.kept.__getitem__ if len(self.kept) < CACHE else lambda p: self.kept.get(p) or look[p]
-        return [self._ids([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, parts, strict=True)]
+            self.kept.update(zip(new[lo : lo + 20_000], self._ids(new[lo : lo + 20_000]), strict=True))
+        out = [self._ids([t])[0] if ps is None else b"".join(map(self.kept.__getitem__, ps)) for t, ps in zip(texts, parts, strict=True)]
+        for part in islice(new, room, None):
+            del self.kept[part]
+        return out
+
+
+@lru_cache(1)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder that a worker's tasks share, so that only its first task loads the tokenizer and meets all parts anew."""
+    return Encoder(path)
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 1024, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
@@ -80,7 +87,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 1024, key: str = "doc_id"
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for whole in batches:
             keys, texts = whole.column(0), whole.column(1)
             lo = 0

@@ -262,6 +262,19 @@ def test_encoder_equals_the_tokenizer():
     assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
 
 
+def test_encoder_beyond_its_cache(monkeypatch):
+    """Parts beyond the cache go after their batch, a failed lookup never falls back, and a worker's tasks share one encoder."""
+    monkeypatch.setattr(packing, "CACHE", 40)
+    encoder = packing.worker_encoder(packing.token_file())
+    assert packing.worker_encoder(packing.token_file()) is encoder
+    for seed in range(6):
+        texts = [sentence(30, 10 * seed + i) for i in range(5)] + [sentence(30, 3), "", "<|endoftext|> a"]
+        whole = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+        assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole]
+        assert len(encoder.kept) <= 40
+    packing.worker_encoder.cache_clear()
+
+
 def test_mix(docs, none):
     got = [r.asDict() for r in mixing.mix(docs).collect()]
     assert sorted(map(str, got)) == sorted(map(str, (r.asDict() for r in mixing.mix(docs.repartition(5)).collect())))
