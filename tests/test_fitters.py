@@ -126,3 +126,31 @@ def test_search_reaches_rows_by_their_fold(spark):
         test = df.where(f"fold_id = {fold}").toPandas()
         p = got.where(f"fold_id = {fold}").toPandas()["p"].to_numpy()
         assert np.allclose(np.sort(p), np.sort(fitters.predict(model, test[["a", "b"]].to_numpy(float))))
+
+
+def test_a_search_runs_once_however_often_it_is_read(monkeypatch, spark, tmp_path):
+    x, y, _ = made(80)
+    log = tmp_path / "fits"
+
+    def noted(x, y, n=None):
+        with open(log, "a") as file:
+            file.write("1")
+        return fitters.fit_brt(x, y, trees=3, n=n)
+
+    monkeypatch.setitem(models.FITTERS, "brt_search", noted)
+    df = spark.createDataFrame([("k", i, i % 2, *map(float, a), int(c)) for i, (a, c) in enumerate(zip(x, y, strict=True))], "k string, row_id int, fold_id int, a double, b double, occurrence int")
+    got = models.block_cv(df, ["k"], "brt_search", ["a", "b"])
+    assert got.count() == 80 and got.where("p is null").count() == 0 and log.read_text() == "11"
+
+
+@pytest.mark.parametrize("most", [1, 5, 200])
+def test_kept_bags_are_those_drawn_anew(most):
+    x, y, _ = made(60)
+    n = np.random.default_rng(1).integers(1, most + 1, 60)
+    kinds = fitters.Kinds.of(x, y, n, np.zeros(n.sum(), int), 1)
+    both = np.concatenate([kinds.rows, kinds.rows // 2])
+    kept, anew = fitters.Bags(kinds, both, 3, 0.75, 2000), fitters.Bags(kinds, both, 3, 0.75)
+    for _ in range(2):
+        for _, (a, ha), (b, hb) in zip(range(40), kept, anew):
+            assert (a == b).all() and (ha == hb).all() and (a <= both).all()
+    assert 0 < len(kept.kept) < 40 and not anew.kept
